@@ -43,6 +43,6 @@ def sample_std_of(cols: list[Column]) -> Column:
 
 def mean_of_present(cols: list[Column]) -> Column:
     """Mean across the non-null columns of one row; null when all are null."""
-    total = sum((F.coalesce(c, F.lit(0.0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0.0)))
+    total = sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0))).cast("double")
     present = sum((c.isNotNull().cast("int") for c in cols[1:]), cols[0].isNotNull().cast("int"))
     return F.try_divide(total, present)
