@@ -33,9 +33,9 @@ from (
   case when c_custkey % 7 < 3 then 'Graduate' when c_custkey % 7 < 5 then 'High School' else 'Doctorate' end
     as education_level,
   cast(c_custkey % 6 as int) as num_dependents,
-  concat('R', cast(c_nationkey % 5 as varchar(2))) as residential_status,
+  concat('R', cast(c_nationkey % 5 as string)) as residential_status,
   cast(6 + c_custkey * 7 % 235 as int) as time_at_current_address_months,
-  cast(100000 + c_custkey * 9973 % 800000 as varchar(10)) as pincode,
+  cast(100000 + c_custkey * 9973 % 800000 as string) as pincode,
   case when c_acctbal <= 0 then 'Unemployed' when c_custkey % 5 = 0 then 'Retired'
     when c_custkey % 2 = 0 then 'Salaried' else 'Self-employed' end as employment_type,
   cast(case when c_acctbal <= 0 then 0 else 12 + c_custkey * 11 % 349 end as int) as time_at_current_job_months,

@@ -6,7 +6,7 @@ however many transactions the customer has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from creditloom.functions.dates import in_window, month_start_back, months_back
@@ -14,9 +14,9 @@ from creditloom.functions.numbers import mean_of_present, sum_or_zero
 
 KEY, DAY, ANCHOR = "customer_id", "day", "anchor_date"
 
-_BY_DAY = Window.partitionBy(KEY).orderBy(DAY)
-_SO_FAR = _BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
-_EARLIER = _BY_DAY.rowsBetween(Window.unboundedPreceding, -1)
+
+def _by_day() -> WindowSpec:
+    return Window.partitionBy(KEY).orderBy(DAY)
 
 
 def anchor_dates(applications: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def running_balance(days: DataFrame) -> DataFrame:
 
     The last day of a series holds for itself only: nothing is known after it.
     """
-    following = F.lead(DAY).over(_BY_DAY)
+    following = F.lead(DAY).over(_by_day())
     return days.withColumns(
         {
-            "balance": F.sum("signed_amount").over(_SO_FAR),
+            "balance": F.sum("signed_amount").over(_by_day().rowsBetween(Window.unboundedPreceding, 0)),
             "valid_to": F.coalesce(F.date_sub(following, 1), F.col(DAY)),
         }
     )
@@ -115,7 +115,8 @@ def in_grid(date: Column, anchor: Column, months: int = 6) -> Column:
 
 def previous_day(condition: Column) -> Column:
     """Last earlier day of the same customer on which the condition holds."""
-    return F.last(F.when(condition, F.col(DAY)), ignorenulls=True).over(_EARLIER)
+    earlier = _by_day().rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(condition, F.col(DAY)), ignorenulls=True).over(earlier)
 
 
 def longest_gap(history: DataFrame, condition: Column, months: int = 12) -> DataFrame:

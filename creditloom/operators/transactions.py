@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.dates import in_window
@@ -12,7 +12,6 @@ from creditloom.functions.labels import contains_safe
 from creditloom.functions.lending import signed_amount
 from creditloom.functions.numbers import eps_ratio, mean_of_present, sample_std_of, sum_or_zero
 from creditloom.operators import timegrid as tg
-from creditloom.operators.skew import SLOT, spread_join
 from creditloom.sources.files import require
 
 KEY, DAY, ANCHOR = tg.KEY, tg.DAY, tg.ANCHOR
@@ -92,23 +91,25 @@ def income_sources(
 ) -> DataFrame:
     """Number of distinct income descriptions per customer in the trailing window.
 
-    Descriptions are free text, so one customer's may be too many for a task: the join and the first grouping are
-    spread by description.
+    A description counts once: on its last day up to the anchor, if the window holds that day. So it is enough to know
+    how many descriptions pass from one day to the next on which they occur again. That table has no description left
+    and is bounded by the calendar, whereas one customer's free-text descriptions could be too many for one task.
     """
-    seen = (
-        transactions.where(F.col("category") == rules.income)
-        .where(F.col("description").isNotNull())
-        .groupBy(KEY, "description", F.col("transaction_date").alias(DAY))
-        .agg(F.lit(1).alias("_one"))
-        .drop("_one")
+    income = (F.col("category") == rules.income) & F.col("description").isNotNull()
+    seen = transactions.where(income).select(KEY, "description", F.col("transaction_date").alias(DAY)).distinct()
+    again = F.lead(DAY).over(Window.partitionBy(KEY, "description").orderBy(DAY))
+    steps = (
+        seen.select(F.col(KEY).alias("_key"), DAY, again.alias("again"))
+        .groupBy("_key", DAY, "again")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    dated = spread_join(seen, anchors, KEY, F.col("description"))
+    last_before = F.col("again").isNull() | (F.col("again") > F.col(ANCHOR))
     return (
-        dated.where(in_window(F.col(DAY), F.col(ANCHOR), months))
-        .groupBy(KEY, SLOT, "description")
-        .agg(F.lit(1).alias("_one"))
+        anchors.join(
+            steps, (F.col(KEY) == F.col("_key")) & in_window(F.col(DAY), F.col(ANCHOR), months) & last_before, "inner"
+        )
         .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("num_distinct_income_sources_6m"))
+        .agg(F.sum("n").alias("num_distinct_income_sources_6m"))
     )
 
 
