@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom.catalog import bindings as b
@@ -18,7 +19,7 @@ from creditloom.operators import encoding as en
 from creditloom.operators import selection as sel
 from creditloom.plans.jobs import application_metrics
 from creditloom.sources.files import read_table, write_csv, write_parquet
-from creditloom.session import scratch_dir
+from creditloom.session import scratch_dir, stored
 
 catalog = Catalog()
 
@@ -233,17 +234,18 @@ def _(spark, d):
 
 @catalog.add(
     "entity_order",
-    f"""{ACCOUNTS} select customer_id, account_id,
-    date_diff('day', lag(account_open_date) over (partition by customer_id order by account_open_date, account_id),
-     account_open_date)::integer as days_since_previous from credit_accounts""",
+    f"""{ACCOUNTS} select customer_id, strftime(account_open_date, '%Y-%m-%d') as opened, n, cast(date_diff('day',
+    lag(account_open_date) over (partition by customer_id order by account_open_date), account_open_date) as integer)
+    as days_since_previous from (
+     select customer_id, account_open_date, count(*) as n from credit_accounts group by all) g""",
 )
 def _(spark, d):
-    """Accounts in order of opening within each customer."""
-    from pyspark.sql import Window
-
-    opened = Window.partitionBy("customer_id").orderBy("account_open_date", "account_id")
-    gap = F.datediff("account_open_date", F.lag("account_open_date").over(opened))
-    return b.credit_accounts(spark, d).select("customer_id", "account_id", gap.alias("days_since_previous"))
+    """Opening days in order within each customer; accounts are first counted per day, so a series stays short."""
+    days = b.credit_accounts(spark, d).groupBy("customer_id", F.col("account_open_date").alias("opened")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    previous = F.lag("opened").over(Window.partitionBy("customer_id").orderBy("opened"))
+    return comparable(days.withColumn("days_since_previous", F.datediff("opened", previous)))
 
 
 @catalog.add("head_preview", f"{APPS} select loan_id, customer_id, age from applications order by loan_id limit 5")
@@ -447,7 +449,8 @@ def _(spark, d):
     select loan_id, round(coalesce({_DTI}, (select median({_DTI}) from marked)), 4) as {_DTI} from marked""",
 )
 def _(spark, d):
-    table = en.sentinel_to_null(_DTI).transform(engineered(spark, d).select("loan_id", _DTI)).drop(f"{_DTI}_is_999")
+    ratios = stored(engineered(spark, d).select("loan_id", _DTI), "ratios")
+    table = en.sentinel_to_null(_DTI).transform(ratios).drop(f"{_DTI}_is_999")
     return comparable(en.fit_median(table, [_DTI]).transform(table))
 
 
@@ -470,11 +473,11 @@ def _(spark, d):
 
 @catalog.add(
     "rounding",
-    "select l_orderkey, cast(sum(round(l_quantity * 1.0, 0)) as double) as quantity from lineitem group by l_orderkey",
+    "select l_orderkey, sum(round(l_extendedprice / 1000, 0)) as thousands from lineitem group by l_orderkey",
 )
 def _(spark, d):
     lines = b.table(spark, d, "lineitem").groupBy("l_orderkey")
-    return lines.agg(F.sum(F.round("l_quantity", 0)).alias("quantity"))
+    return lines.agg(F.sum(F.round(F.col("l_extendedprice") / 1000, 0)).alias("thousands"))
 
 
 # ---------------------------------------------------------------- encoding

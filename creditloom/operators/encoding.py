@@ -15,11 +15,11 @@ from creditloom.operators.profiling import mode
 from creditloom.operators.quantiles import medians
 
 
-def name(column: str) -> str:
+def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def text(value: str) -> str:
+def quoted_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -40,7 +40,7 @@ class Step:
     def select_list(self, columns: list[str]) -> list[tuple[str, str]]:
         """(output, SQL) for every column of the result, given the input's columns."""
         made = self.expressions()
-        kept = [(c, made.get(c, name(c))) for c in columns if c not in self.drops]
+        kept = [(c, made.get(c, quoted(c))) for c in columns if c not in self.drops]
         new = [(c, e) for c, e in made.items() if c not in columns or c in self.drops]
         return new + kept if self.new_first else kept + new
 
@@ -69,7 +69,7 @@ class Impute(Step):
     cast: str | None = None
 
     def expressions(self) -> dict[str, str]:
-        filled = {c: f"coalesce({name(c)}, {v})" for c, v in self.values.items()}
+        filled = {c: f"coalesce({quoted(c)}, {v})" for c, v in self.values.items()}
         return {c: f"cast({e} as {self.cast})" for c, e in filled.items()} if self.cast else filled
 
 
@@ -83,16 +83,16 @@ def fit_mode(df: DataFrame, columns: list[str], cast: str | None = None) -> Impu
     types = dict(df.dtypes)
     found = {r.column_name: r.value for r in mode(df, columns).collect()}
     return Impute(
-        values={c: f"cast({text(found[c])} as {types[c]})" for c in columns if c in found}, cast=cast
+        values={c: f"cast({quoted_text(found[c])} as {types[c]})" for c in columns if c in found}, cast=cast
     )
 
 
 def sentinel_to_null(column: str, sentinel: float = 999.0) -> Expressions:
     """Flag column ``<column>_is_<n>``, and null in place of the stand-in value."""
-    is_it = f"{name(column)} = {real(sentinel)}"
+    is_it = f"{quoted(column)} = {real(sentinel)}"
     return Expressions(
         made={
-            column: f"case when {is_it} then null else {name(column)} end",
+            column: f"case when {is_it} then null else {quoted(column)} end",
             f"{column}_is_{sentinel:g}": f"cast(coalesce({is_it}, false) as int)",
         }
     )
@@ -110,9 +110,9 @@ class OneHot(Step):
         for column, values in self.categories.items():
             for value in values:
                 if value is None:
-                    made[f"{column}_nan"] = self._shown(f"{name(column)} is null")
+                    made[f"{column}_nan"] = self._shown(f"{quoted(column)} is null")
                 else:
-                    made[f"{column}_{value}"] = self._shown(f"coalesce({name(column)} = {text(value)}, false)")
+                    made[f"{column}_{value}"] = self._shown(f"coalesce({quoted(column)} = {quoted_text(value)}, false)")
         return made
 
     def _shown(self, condition: str) -> str:
@@ -153,7 +153,7 @@ class Standardize(Step):
 
     def expressions(self) -> dict[str, str]:
         return {
-            c: f"(cast({name(c)} as double) - {real(mean)}) / {real(std)}" for c, (mean, std) in self.moments.items()
+            c: f"(cast({quoted(c)} as double) - {real(mean)}) / {real(std)}" for c, (mean, std) in self.moments.items()
         }
 
 
@@ -161,7 +161,7 @@ def fit_standardize(df: DataFrame, columns: list[str]) -> Standardize:
     """Means and deviations of all columns in one pass."""
     if not columns:
         return Standardize()
-    value = [F.col(name(c)).cast("double") for c in columns]
+    value = [F.col(quoted(c)).cast("double") for c in columns]
     row = df.agg(*[f(v) for v in value for f in (F.avg, F.stddev_pop)]).first()
     pairs = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
     return Standardize(
