@@ -288,6 +288,9 @@ _txn_part("recurring_salary", ["has_recurring_salary_flag"])
 _txn_part("eps_ratio", ["essential_to_discretionary_spend_ratio"])
 
 
+UNIT = 100  # the bound amounts are sums of hundredths in the daily table
+
+
 def _history(spark: SparkSession, d: str, how: str = "left") -> DataFrame:
     anchors = tg.anchor_dates(b.applications(spark, d))
     return tg.point_in_time(anchors, tx.daily_rollup(b.transactions(spark, d)), how)
@@ -384,7 +387,8 @@ def _(spark, d):
         for i in range(6)
     ]
     wide = _history(spark, d).groupBy("customer_id").agg(F.array(*sums).alias("grid"))
-    return comparable(wide.select("customer_id", F.inline("grid")), 2)
+    rows = wide.select("customer_id", F.inline("grid"))
+    return comparable(rows.withColumns({k: F.col(k) / UNIT for k in kinds}), 2)
 
 
 @catalog.add(
@@ -396,7 +400,7 @@ def _(spark, d):
 def _(spark, d):
     grid = tg.month_grid(F.col("credit"), F.col("day"), F.col("anchor_date"), 6)
     return comparable(
-        _history(spark, d).groupBy("customer_id").agg(*[c.alias(f"credit_{i}") for i, c in enumerate(grid)]), 2
+        _history(spark, d).groupBy("customer_id").agg(*[(c / UNIT).alias(f"credit_{i}") for i, c in enumerate(grid)]), 2
     )
 
 

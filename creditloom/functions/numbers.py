@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INFINITY = float("inf")
 
@@ -46,3 +47,15 @@ def mean_of_present(cols: list[Column]) -> Column:
     total = sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0))).cast("double")
     present = sum((c.isNotNull().cast("int") for c in cols[1:]), cols[0].isNotNull().cast("int"))
     return F.try_divide(total, present)
+
+
+def whole_units(df: DataFrame, column: str) -> tuple[Column, int]:
+    """An exact decimal amount as a count of its smallest unit, and how many of those make one.
+
+    Sums of longs are as exact as sums of decimals, and several times faster, as a wide decimal has no fixed-width
+    arithmetic. An overflow raises. Other types are left alone, with a divisor of 1.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (F.col(column) * F.lit(10**kind.scale)).cast("long"), 10**kind.scale
+    return F.col(column), 1

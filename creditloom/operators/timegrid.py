@@ -34,18 +34,21 @@ def daily_net(transactions: DataFrame, signed: Column) -> DataFrame:
     return transactions.groupBy(KEY, F.col("transaction_date").alias(DAY)).agg(F.sum(signed).alias("signed_amount"))
 
 
-def running_balance(days: DataFrame) -> DataFrame:
-    """Adds the balance at the end of each day and the last day on which it still holds.
+def balance_columns() -> dict[str, Column]:
+    """Balance at the end of each day, and the last day on which it still holds.
 
     The last day of a series holds for itself only: nothing is known after it.
     """
     following = F.lead(DAY).over(_by_day())
-    return days.withColumns(
-        {
-            "balance": F.sum("signed_amount").over(_by_day().rowsBetween(Window.unboundedPreceding, 0)),
-            "valid_to": F.coalesce(F.date_sub(following, 1), F.col(DAY)),
-        }
-    )
+    return {
+        "balance": F.sum("signed_amount").over(_by_day().rowsBetween(Window.unboundedPreceding, 0)),
+        "valid_to": F.coalesce(F.date_sub(following, 1), F.col(DAY)),
+    }
+
+
+def running_balance(days: DataFrame) -> DataFrame:
+    """Daily net amounts with ``balance`` and ``valid_to``."""
+    return days.withColumns(balance_columns())
 
 
 def daily_balance(balances: DataFrame) -> DataFrame:

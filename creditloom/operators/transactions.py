@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.dates import in_window
 from creditloom.functions.labels import contains_safe
 from creditloom.functions.lending import signed_amount
-from creditloom.functions.numbers import eps_ratio, mean_of_present, sample_std_of, sum_or_zero
+from creditloom.functions.numbers import eps_ratio, mean_of_present, sample_std_of, sum_or_zero, whole_units
 from creditloom.operators import timegrid as tg
 from creditloom.sources.files import require
 
@@ -56,10 +56,12 @@ class TransactionRules:
 def daily_rollup(transactions: DataFrame, rules: TransactionRules = TransactionRules()) -> DataFrame:
     """One row per customer and day with every sum, count and flag the features need.
 
-    All parts combine before the shuffle, and afterwards the hot customers are as short as the calendar.
+    All parts combine before the shuffle, and afterwards the hot customers are as short as the calendar. Decimal
+    amounts are summed in their smallest unit, see ``whole_units``.
     """
-    amount, category, description = F.col("amount"), F.col("category"), F.col("description")
+    amount, category, description = whole_units(transactions, "amount")[0], F.col("category"), F.col("description")
     value = F.abs(amount) if rules.magnitudes else amount
+    paid = F.abs("amount") if rules.magnitudes else F.col("amount")
     income = category == rules.income
 
     def total(condition: Column) -> Column:
@@ -80,7 +82,7 @@ def daily_rollup(transactions: DataFrame, rules: TransactionRules = TransactionR
             F.count_if(description.isin(*rules.recurring_bills)).alias("bills"),
             F.count_if(contains_safe(description, rules.overdraft)).alias("overdrafts"),
             F.count_if(contains_safe(description, rules.bounce)).alias("bounces"),
-            F.count_if((description == rules.cash) & (value > rules.large_cash)).alias("large_cash"),
+            F.count_if((description == rules.cash) & (paid > rules.large_cash)).alias("large_cash"),
             F.bool_or(description == rules.investment).alias("investment"),
         )
     )
@@ -126,20 +128,26 @@ def transaction_features(
     grid = tg.in_grid(day, anchor, 6)
     earns = (F.col("incomes") > 0) & last_12
 
-    history = tg.running_balance(tg.point_in_time(anchors, daily_rollup(transactions, rules))).withColumn(
-        "income_gap", F.when(earns, F.datediff(day, tg.previous_day(earns)))
+    unit = whole_units(transactions, "amount")[1]
+
+    # all three in one window step
+    history = tg.point_in_time(anchors, daily_rollup(transactions, rules)).withColumns(
+        {**tg.balance_columns(), "income_gap": F.when(earns, F.datediff(day, tg.previous_day(earns)))}
     )
 
+    def money(col: Column) -> Column:
+        return col.cast("double") / unit
+
     def count_6(name: str) -> Column:
         return sum_or_zero(F.when(last_6, F.col(name)))
 
     credits = [f"credit_{i}" for i in range(6)]
     lows = [f"low_{i}" for i in range(7)]
     totals = history.groupBy(KEY).agg(
-        *[c.cast("double").alias(n) for c, n in zip(tg.month_grid(F.col("credit"), day, anchor, 6), credits)],
-        sum_or_zero(F.when(grid, F.col("credit"))).cast("double").alias("credit_total"),
-        sum_or_zero(F.when(grid, F.col("essential"))).cast("double").alias("essential_total"),
-        sum_or_zero(F.when(grid, F.col("discretionary"))).cast("double").alias("discretionary_total"),
+        *[money(c).alias(n) for c, n in zip(tg.month_grid(F.col("credit"), day, anchor, 6), credits)],
+        money(sum_or_zero(F.when(grid, F.col("credit")))).alias("credit_total"),
+        money(sum_or_zero(F.when(grid, F.col("essential")))).alias("essential_total"),
+        money(sum_or_zero(F.when(grid, F.col("discretionary")))).alias("discretionary_total"),
         *[c.alias(n) for c, n in zip(tg.month_minima(6), lows)],
         F.coalesce(F.max("income_gap"), F.lit(0)).alias("longest_income_gap_days_12m"),
         F.coalesce(F.bool_or(F.col("salary") & last_12), F.lit(False)).alias("has_salary"),
@@ -147,11 +155,11 @@ def transaction_features(
         count_6("overdrafts").alias("num_overdrafts_6m"),
         count_6("bounces").alias("num_bounced_transactions_6m"),
         count_6("large_cash").alias("large_cash_withdrawal_frequency_6m"),
-        count_6("savings").cast("double").alias("savings_total"),
+        money(count_6("savings")).alias("savings_total"),
         F.coalesce(F.bool_or(F.col("investment") & last_6), F.lit(False)).cast("int").alias(
             "has_investment_transactions_flag"
         ),
-        sum_or_zero(F.when(last_12, F.col("emi"))).cast("double").alias("emi_total"),
+        money(sum_or_zero(F.when(last_12, F.col("emi")))).alias("emi_total"),
     )
 
     months = [F.col(c) for c in credits]
@@ -169,7 +177,7 @@ def transaction_features(
                 "avg_monthly_essential_expenses_6m": essential,
                 "avg_monthly_discretionary_expenses_6m": discretionary,
                 "essential_to_discretionary_spend_ratio": F.coalesce(eps_ratio(essential, discretionary), F.lit(0.0)),
-                "avg_monthly_balance_min_6m": F.coalesce(mean_of_present([F.col(c) for c in lows]), F.lit(0.0)),
+                "avg_monthly_balance_min_6m": F.coalesce(mean_of_present([F.col(c) for c in lows]) / unit, F.lit(0.0)),
                 "avg_monthly_savings_transfers_6m": F.col("savings_total") / 6,
                 "detected_other_emis_sum": F.col("emi_total") / (12 if rules.emi_monthly else 1),
             }
