@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.dates import whole_months_30
-from creditloom.functions.numbers import safe_ratio, sum_or_zero
+from creditloom.functions.numbers import safe_ratio, sum_or_zero, whole_units
 from creditloom.sources.files import require
 
 KEY = "customer_id"
@@ -60,6 +60,8 @@ def account_totals(accounts: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
     The first step makes the distinct counts plain counts, and spreads a customer with very many accounts.
     """
+    limit, limit_unit = whole_units(accounts, "sanctioned_limit")
+    balance, balance_unit = whole_units(accounts, "current_balance")
     active = F.col("account_status") == ACTIVE
     revolving = active & (F.col("account_type") == REVOLVING)
     per_account = require(accounts, ACCOUNT_COLUMNS, "credit accounts").groupBy(KEY, "account_id").agg(
@@ -69,12 +71,11 @@ def account_totals(accounts: DataFrame, as_of: str = AS_OF) -> DataFrame:
         F.min("account_open_date").alias("first_open"),
         F.max("account_open_date").alias("last_open"),
         F.max("max_dpd_past_24m").alias("max_dpd_past_24m"),
+        F.sum(limit).alias("limit"),
+        F.sum(balance).alias("balance"),
         *[
             F.sum(c).alias(c)
-            for c in (
-                "sanctioned_limit", "current_balance", "num_defaults_total", "num_settled_total",
-                "num_30_dpd_last_6m", "num_90_dpd_last_12m",
-            )
+            for c in ("num_defaults_total", "num_settled_total", "num_30_dpd_last_6m", "num_90_dpd_last_12m")
         ],
     )
     on = F.lit(as_of).cast("date")
@@ -85,8 +86,8 @@ def account_totals(accounts: DataFrame, as_of: str = AS_OF) -> DataFrame:
         sum_or_zero(F.col("active")).alias("num_credit_accounts_active"),
         whole_months_30(on, F.min("first_open")).alias("oldest_account_age_months"),
         whole_months_30(on, F.max("last_open")).alias("newest_account_age_months"),
-        sum_or_zero(F.col("sanctioned_limit")).alias("total_sanctioned_limit"),
-        sum_or_zero(F.col("current_balance")).alias("total_outstanding_balance"),
+        (sum_or_zero(F.col("limit")).cast("double") / limit_unit).alias("total_sanctioned_limit"),
+        (sum_or_zero(F.col("balance")).cast("double") / balance_unit).alias("total_outstanding_balance"),
         sum_or_zero(F.col("num_defaults_total")).alias("num_defaults_reported_total"),
         sum_or_zero(F.col("num_settled_total")).alias("num_settled_accounts_total"),
         F.max("max_dpd_past_24m").alias("max_dpd_past_24m"),
@@ -106,8 +107,6 @@ def credit_features(applications: DataFrame, accounts: DataFrame, as_of: str = A
     balance, limit = F.col("total_outstanding_balance"), F.col("total_sanctioned_limit")
     return totals.withColumns(
         {
-            "total_sanctioned_limit": limit.cast("double"),
-            "total_outstanding_balance": balance.cast("double"),
             "overall_credit_utilization_ratio": safe_ratio(balance, limit, 0),
             "avg_account_age_months": (oldest + newest) / 2,
             "ever_defaulted_flag": (F.col("num_defaults_reported_total") > 0).cast("int"),
