@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +39,12 @@ class Catalog:
 def comparable(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded and decimals turned into doubles, as the comparing SQL does; dates as ISO text."""
 
-    def shown(f: T.StructField):
-        col = F.col(f"`{f.name}`")
+    def shown(f: T.StructField) -> str:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            return F.round(col.cast("double"), digits).alias(f.name)
+            return f"round(cast({name} as double), {digits}) as {name}"
         if isinstance(f.dataType, T.DateType):
-            return F.date_format(col, "yyyy-MM-dd").alias(f.name)
-        return col
+            return f"date_format({name}, 'yyyy-MM-dd') as {name}"
+        return name
 
-    return df.select(*[shown(f) for f in df.schema.fields])
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])

@@ -161,8 +161,8 @@ def fit_standardize(df: DataFrame, columns: list[str]) -> Standardize:
     """Means and deviations of all columns in one pass."""
     if not columns:
         return Standardize()
-    value = [F.col(quoted(c)).cast("double") for c in columns]
-    row = df.agg(*[f(v) for v in value for f in (F.avg, F.stddev_pop)]).first()
+    value = [f"cast({quoted(c)} as double)" for c in columns]
+    row = df.selectExpr(*[f"{f}({v}) as {f}_{i}" for i, v in enumerate(value) for f in ("avg", "stddev_pop")]).first()
     pairs = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
     return Standardize(
         moments={c: (mean, std if std else 1.0) for c, (mean, std) in pairs.items() if mean is not None}

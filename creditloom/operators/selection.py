@@ -48,10 +48,22 @@ def n_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
-def scalable_columns(df: DataFrame, exclude: tuple[str, ...] = (), more_than: int = 2) -> list[str]:
-    """Numeric columns, but for the excluded ones, with more than two distinct values."""
+def scalable_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Numeric columns, but for the excluded ones, with more than two distinct values.
+
+    A third value lies between the smallest and the largest, so two plain passes tell, without any distinct count.
+    """
     candidates = [c for c in cols_of_type(df, "number") if c not in exclude]
     if not candidates:
         return []
-    found = {r.column_name for r in n_unique(df, candidates).where(F.col("n_unique") > more_than).collect()}
-    return [c for c in candidates if c in found]
+    numbers = df.selectExpr(*[f"cast(`{c}` as double) as v{i}" for i, c in enumerate(candidates)])
+    ends = numbers.selectExpr(*[f"{f}({v}) as {f}_{v}" for v in numbers.columns for f in ("min", "max")]).first()
+    inner = numbers.selectExpr(
+        *[
+            f"count_if({v} > double('{ends[f'min_{v}']}') and {v} < double('{ends[f'max_{v}']}')) as {v}"
+            if ends[f"min_{v}"] is not None
+            else f"count({v}) as {v}"
+            for v in numbers.columns
+        ]
+    ).first()
+    return [c for i, c in enumerate(candidates) if inner[i]]
