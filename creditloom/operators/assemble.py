@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from creditloom.functions.lending import NO_INCOME_RATIO, effective_income
 from creditloom.functions.numbers import finite, safe_ratio
 from creditloom.operators.credit import CREDIT_FEATURES, KEY
+from creditloom.operators.skew import spread_join
 from creditloom.operators.transactions import TRANSACTION_FEATURES
 
 COMPOSITES = (
@@ -22,11 +23,11 @@ ENGINEERED = CREDIT_FEATURES + TRANSACTION_FEATURES + COMPOSITES
 def attach_features(applications: DataFrame, credit: DataFrame, transactions: DataFrame) -> DataFrame:
     """Every application with the features of its customer.
 
-    The two feature tables have one row per customer and meet first. The applications then join once, at the end of
-    the stage, where adaptive execution may split a customer with very many applications.
+    The two feature tables have one row per customer and meet first. The applications then join once, spread where a
+    customer has very many of them.
     """
     per_customer = transactions.join(credit, KEY, "left")
-    return applications.join(per_customer, KEY, "left").select(
+    return spread_join(applications, per_customer, KEY, "loan_id", "left").select(
         *applications.columns, *CREDIT_FEATURES, *TRANSACTION_FEATURES
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.dates import whole_months_30
 from creditloom.functions.numbers import safe_ratio, sum_or_zero, whole_units
+from creditloom.operators.skew import spread_join
 from creditloom.sources.files import require
 
 KEY = "customer_id"
@@ -49,10 +50,13 @@ def first_score(accounts: DataFrame) -> DataFrame:
     return accounts.groupBy(KEY).agg(_unpacked_score(F.min(_dated_score())).alias("credit_score"))
 
 
-def with_history(rows: DataFrame, applications: DataFrame) -> DataFrame:
-    """Keeps the rows of customers with an application that states a credit history."""
-    known = applications.where(F.col("has_credit_history") == 1).select(KEY).distinct()
-    return rows.join(known, KEY, "left_semi")
+def _known_customers(applications: DataFrame) -> DataFrame:
+    return applications.where(F.col("has_credit_history") == 1).select(KEY).distinct()
+
+
+def with_history(accounts: DataFrame, applications: DataFrame) -> DataFrame:
+    """Keeps the accounts of customers with an application that states a credit history."""
+    return spread_join(accounts, _known_customers(applications), KEY, "account_id").select(*accounts.columns)
 
 
 def account_totals(accounts: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -102,7 +106,7 @@ def credit_features(applications: DataFrame, accounts: DataFrame, as_of: str = A
 
     The semi-join comes after the grouping: it then meets one row per customer, and no customer is too big for a task.
     """
-    totals = with_history(account_totals(accounts, as_of), applications)
+    totals = account_totals(accounts, as_of).join(_known_customers(applications), KEY, "left_semi")
     oldest, newest = F.col("oldest_account_age_months"), F.col("newest_account_age_months")
     balance, limit = F.col("total_outstanding_balance"), F.col("total_sanctioned_limit")
     return totals.withColumns(

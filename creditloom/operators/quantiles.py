@@ -1,18 +1,94 @@
 """Exact interpolated quantiles of any number of rows.
 
-Spark's own exact ``percentile`` keeps every distinct value of a column in the memory of one task. Here a mergeable
-sketch gives, for each quantile, two values that enclose it; one pass counts what lies below them; only the values
-between them, a share of about 4 / ACCURACY of the rows, are ordered. The result is exact, not approximate.
+Spark's own exact ``percentile`` keeps every distinct value of a column in the memory of one task. Here the values
+that may hold a quantile are narrowed first: a small mergeable sketch gives two values that enclose it, one pass counts
+what lies below them, and this repeats on the enclosed rows until few are left. Only those are put in order. The result
+is exact, not approximate, and a table below the limit is ordered at once.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+ACCURACY = 1000
+FEW_ROWS = 1_000_000
+
+
+@dataclass
+class _Target:
+    """A quantile to find, and what is known of where it lies."""
+
+    column: str
+    name: str
+    probability: float
+    rows: int
+    below: int = 0
+    inside: int = 0
+    low: float | None = None
+    high: float | None = None
+
+    def __post_init__(self) -> None:
+        self.inside = self.rows
+        position = (self.rows - 1) * self.probability
+        self.first, self.second = math.floor(position), math.ceil(position)
+        self.weight = position - self.first
+
+    def within(self) -> Column:
+        value = F.col(self.column)
+        test = value.isNotNull()
+        if self.low is not None:
+            test = test & (value >= self.low)
+        if self.high is not None:
+            test = test & (value <= self.high)
+        return test
+
+    def bounds(self) -> list[float]:
+        """Probabilities among the enclosed rows that surely lie on either side of the quantile."""
+        last = max(self.inside - 1, 1)
+        return [
+            max((self.first - self.below) / last - 2 / ACCURACY, 0.0),
+            min((self.second - self.below) / last + 2 / ACCURACY, 1.0),
+        ]
+
+    def narrow(self, low: float, high: float, less: int, upto: int) -> bool:
+        """Takes over each bound that holds; tells whether anything was gained."""
+        before, end = self.inside, self.below + self.inside
+        if self.below + upto > self.second:
+            self.high, end = high, self.below + upto
+        if self.below + less <= self.first:
+            self.low, self.below = low, self.below + less
+        self.inside = end - self.below
+        return self.inside < before
+
+
+def _narrow(numbers: DataFrame, targets: list[_Target]) -> None:
+    open_targets = [t for t in targets if t.inside > FEW_ROWS]
+    while open_targets:
+        sketch = numbers.agg(
+            *[
+                F.percentile_approx(F.when(t.within(), F.col(t.column)), t.bounds(), ACCURACY).alias(f"b{i}")
+                for i, t in enumerate(open_targets)
+            ]
+        ).first()
+        counted = numbers.agg(
+            *[
+                F.count_if(t.within() & test).alias(f"{name}{i}")
+                for i, t in enumerate(open_targets)
+                for name, test in (
+                    ("less", F.col(t.column) < sketch[f"b{i}"][0]),
+                    ("upto", F.col(t.column) <= sketch[f"b{i}"][1]),
+                )
+            ]
+        ).first()
+        gained = [
+            t.narrow(*sketch[f"b{i}"], counted[f"less{i}"], counted[f"upto{i}"]) for i, t in enumerate(open_targets)
+        ]
+        # rows that cannot be told apart further share few values, which the counting by value below brings together
+        open_targets = [t for t, more in zip(open_targets, gained) if more and t.inside > FEW_ROWS]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
@@ -20,52 +96,33 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     if not columns:
         raise ValueError("no columns given")
     numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    margin = 2 / ACCURACY
-    bounds = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = numbers.agg(
-        *[F.count(c).alias(f"n_{c}") for c in numbers.columns],
-        *[F.percentile_approx(c, bounds, ACCURACY).alias(f"b_{c}") for c in numbers.columns],
-    ).first()
-    brackets = [
-        (c, i, p, sketch[f"n_{c}"], sketch[f"b_{c}"][2 * j], sketch[f"b_{c}"][2 * j + 1])
-        for i, c in enumerate(numbers.columns)
-        for j, p in enumerate(probabilities)
-        if sketch[f"n_{c}"]
+    counts = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
+    targets = [
+        _Target(v, name, float(p), counts[v])
+        for v, name in zip(numbers.columns, columns)
+        for p in probabilities
+        if counts[v]
     ]
-    if not brackets:
+    if not targets:
         return df.sparkSession.createDataFrame([], "column_name string, probability double, value double")
-    counted = numbers.agg(
-        *[F.count_if(F.col(c) < low).alias(f"below_{k}") for k, (c, _, _, _, low, _) in enumerate(brackets)],
-        *[F.count_if(F.col(c) <= high).alias(f"upto_{k}") for k, (c, _, _, _, _, high) in enumerate(brackets)],
-    ).first()
-
-    candidates, targets = [], []
-    for k, (c, i, p, n, low, high) in enumerate(brackets):
-        position = (n - 1) * p
-        first, second = math.floor(position), math.ceil(position)
-        below = counted[f"below_{k}"]
-        inside = F.col(c).isNotNull()
-        if below <= first:
-            inside = inside & (F.col(c) >= low)
-        else:  # the sketch missed its bound: take everything on that side
-            below = 0
-        if counted[f"upto_{k}"] > second:
-            inside = inside & (F.col(c) <= high)
-        candidates.append(F.when(inside, F.struct(F.lit(k).alias("k"), F.col(c).alias("value"))))
-        targets.append((k, columns[i], float(p), first - below, second - below, position - first))
+    _narrow(numbers, targets)
 
+    tagged = [
+        F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(t.column).alias("value"))) for k, t in enumerate(targets)
+    ]
     by_value = (
-        numbers.select(F.explode(F.array_compact(F.array(*candidates))).alias("e"))
+        numbers.select(F.explode(F.array_compact(F.array(*tagged))).alias("e"))
         .groupBy("e.k", "e.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ordered = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     wanted = df.sparkSession.createDataFrame(
-        targets, "k int, column_name string, probability double, first long, second long, weight double"
+        [(k, t.name, t.probability, t.first - t.below, t.second - t.below, t.weight) for k, t in enumerate(targets)],
+        "k int, column_name string, probability double, first long, second long, weight double",
     )
     ranked = by_value.withColumn("upto", F.sum("n").over(ordered)).join(F.broadcast(wanted), "k")
 
-    def at(rank: str):
+    def at(rank: str) -> Column:
         holds = (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
         return F.max(F.when(holds, F.col("value")))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.modelling import metrics, split
-from creditloom.operators import encoding, quantiles, running, selection
+from creditloom.operators import encoding, quantiles, running, selection, skew
 from creditloom.operators import timegrid as tg
 
 
@@ -73,13 +73,18 @@ def test_quantiles_equal_linear_interpolation(spark, size):
                 assert (name, p) not in found
 
 
-def test_quantiles_with_a_coarse_sketch(spark, monkeypatch):
-    """Brackets that hold many rows, or that miss their bound, still give exact values."""
-    monkeypatch.setattr(quantiles, "ACCURACY", 3)
-    values = [float(v) for v in np.random.default_rng(5).lognormal(size=5000)]
-    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(8)
-    found = {r.probability: r.value for r in quantiles.exact_quantiles(df, ["v"], [0.01, 0.5, 0.99]).collect()}
-    assert found == {p: pytest.approx(np.quantile(values, p), rel=1e-12) for p in (0.01, 0.5, 0.99)}
+@pytest.mark.parametrize("accuracy, few", [(3, 1), (3, 500), (50, 20), (1000, 10)])
+def test_quantiles_by_narrowing(spark, monkeypatch, accuracy, few):
+    """Rough sketches and many rounds still give exact values, also where a third of the rows is one value."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "FEW_ROWS", few)
+    values = [float(v) for v in np.random.default_rng(5).lognormal(size=2000)] + [1.0] * 1000
+    df = spark.createDataFrame([(v, int(v * 3)) for v in values], "v double, w int").repartition(8)
+    wanted = [0.0, 0.01, 0.5, 0.99, 1.0]
+    found = {(r.column_name, r.probability): r.value for r in quantiles.exact_quantiles(df, ["v", "w"], wanted).collect()}
+    for p in wanted:
+        assert found["v", p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+        assert found["w", p] == pytest.approx(np.quantile([int(v * 3) for v in values], p), rel=1e-12)
 
 
 def test_medians_without_values(spark):
@@ -157,3 +162,22 @@ def test_grid_sums_stay_within_the_window(spark):
     grid = tg.month_grid(F.col("v"), day, anchor)
     row = tg.point_in_time(anchors, days).groupBy("customer_id").agg(*[c.alias(f"m{i}") for i, c in enumerate(grid)])
     assert list(row.first())[1:] == [31, 31, 30, 31, 30, 31]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_spread_join_equals_plain_join(spark, how, share):
+    """One key holds a third of the rows; some keys have no partner, and one is null."""
+    rows = [("hot", i) for i in range(200)] + [(f"k{i % 50}", i) for i in range(390)] + [(None, i) for i in range(10)]
+    many = spark.createDataFrame(rows, "k string, i long")
+    partners = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 80, 2)]], "k string, v long")
+    spread = skew.spread_join(many, partners, "k", "i", how, share)
+    assert spread.columns == ["k", "i", "v"]
+    plain = many.join(partners, "k", how)
+    assert sorted(spread.collect(), key=repr) == sorted(plain.collect(), key=repr)
+
+
+def test_heavy_keys_are_few_and_found(spark):
+    rows = [("hot",)] * 500 + [(f"k{i}",) for i in range(1000)]
+    heavy = skew.heavy_keys(spark.createDataFrame(rows, "k string"), "k", share=100).collect()
+    assert [tuple(r) for r in heavy] == [("hot", 34)]
