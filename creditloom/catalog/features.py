@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.catalog import bindings as b
 from creditloom.catalog.kit import Catalog, comparable
-from creditloom.functions.dates import in_window
+from creditloom.functions.dates import in_window, months_back
 from creditloom.functions.labels import contains_safe
 from creditloom.functions.lending import signed_amount
 from creditloom.operators import assemble as asm
@@ -371,6 +371,11 @@ def _(spark, d):
     return comparable(joined.select("loan_id", "customer_id", "credit_score", *tx.TRANSACTION_FEATURES))
 
 
+def _window_and_month():
+    day, anchor = F.col("day"), F.col("anchor_date")
+    return in_window(day, anchor, 6), months_back(day, anchor)
+
+
 @catalog.add(
     "month_sums",
     f"""{_BOUND}, {DATED}, {GRID} select customer_id, cast(back as integer) as months_back,
@@ -379,11 +384,11 @@ def _(spark, d):
 )
 def _(spark, d):
     """Dense grid: six rows per customer and one column per kind of amount."""
-    day, anchor = F.col("day"), F.col("anchor_date")
+    inside, back = _window_and_month()
     kinds = ("credit", "essential", "discretionary")
     sums = [
         F.struct(F.lit(i).alias("months_back"), *[grid[i].cast("double").alias(k) for k, grid in grids])
-        for grids in [[(k, tg.month_grid(F.col(k), day, anchor, 6)) for k in kinds]]
+        for grids in [[(k, tg.month_grid(F.col(k), inside, back, 6)) for k in kinds]]
         for i in range(6)
     ]
     wide = _history(spark, d).groupBy("customer_id").agg(F.array(*sums).alias("grid"))
@@ -398,7 +403,7 @@ def _(spark, d):
     from grid_sums group by customer_id""",
 )
 def _(spark, d):
-    grid = tg.month_grid(F.col("credit"), F.col("day"), F.col("anchor_date"), 6)
+    grid = tg.month_grid(F.col("credit"), *_window_and_month(), 6)
     return comparable(
         _history(spark, d).groupBy("customer_id").agg(*[(c / UNIT).alias(f"credit_{i}") for i, c in enumerate(grid)]), 2
     )
@@ -434,7 +439,7 @@ def _seen_balances(spark: SparkSession, d: str) -> DataFrame:
     "daily_balance",
     f"""{_BOUND}, {DATED}, {DAILY} select customer_id, cast(count(*) as bigint) as n_days,
     round(cast(min(balance) as double), 2) as lowest, round(cast(max(balance) as double), 2) as highest,
-    round(cast(sum(balance) as double) / 1000, 2) as balance_days_thousands from days group by customer_id""",
+    round(cast(sum(balance) as double), 2) as balance_days from days group by customer_id""",
 )
 def _(spark, d):
     """Every calendar day of every series, summed up per customer."""
@@ -444,7 +449,7 @@ def _(spark, d):
             F.count(F.lit(1)).alias("n_days"),
             F.min("balance").alias("lowest"),
             F.max("balance").alias("highest"),
-            (F.sum("balance").cast("double") / 1000).alias("balance_days_thousands"),
+            F.sum("balance").alias("balance_days"),
         ),
         2,
     )

@@ -78,42 +78,42 @@ def trailing_balance(balances: DataFrame, months: int = 6) -> DataFrame:
     return balances.withColumn("valid_from", valid_from(months)).where(F.col("valid_from") <= F.col("valid_to"))
 
 
-def month_minima(months: int = 6) -> list[Column]:
-    """Lowest balance in each calendar month that the trailing window touches, newest first, as aggregates.
-
-    A window of n months touches n + 1 calendar months unless it starts on the first of one.
-    """
+def month_span(months: int = 6) -> dict[str, Column]:
+    """First and last calendar month that a balance interval touches inside the trailing window, counted back from the
+    anchor's month; null for an interval that ended before the window."""
+    start, end, anchor = valid_from(months), F.col("valid_to"), F.col(ANCHOR)
+    alive = start <= end
+    return {
+        "from_back": F.when(alive, months_back(start, anchor)),
+        "to_back": F.when(alive, months_back(end, anchor)),
+    }
 
-    def lowest(back: int) -> Column:
-        start = month_start_back(F.col(ANCHOR), back)
-        touches = (valid_from(months) <= F.least(F.col("valid_to"), F.last_day(start))) & (F.col("valid_to") >= start)
-        return F.min(F.when(touches, F.col("balance")))
 
-    return [lowest(back) for back in range(months + 1)]
+def month_minima(months: int = 6) -> list[Column]:
+    """Lowest balance in each calendar month that the trailing window touches, newest first, as aggregates over rows
+    with ``month_span``. A window of n months touches n + 1 calendar months unless it starts on the first of one.
+    """
+    first, last = F.col("from_back"), F.col("to_back")
+    return [F.min(F.when((last <= back) & (first >= back), F.col("balance"))) for back in range(months + 1)]
 
 
 def min_balance(history: DataFrame, months: int = 6) -> DataFrame:
     """Mean over the months of the window of each month's lowest daily balance; zero where no day is known."""
     names = [f"low_{i}" for i in range(months + 1)]
-    lows = running_balance(history).groupBy(KEY).agg(*[c.alias(n) for c, n in zip(month_minima(months), names)])
+    spans = running_balance(history).withColumns(month_span(months))
+    lows = spans.groupBy(KEY).agg(*[c.alias(n) for c, n in zip(month_minima(months), names)])
     mean = F.coalesce(mean_of_present([F.col(n) for n in names]), F.lit(0.0))
     return lows.select(KEY, mean.alias("avg_monthly_balance_min_6m"))
 
 
-def month_grid(amount: Column, date: Column, anchor: Column, months: int = 6) -> list[Column]:
+def month_grid(amount: Column, inside: Column, back: Column, months: int = 6) -> list[Column]:
     """Sums per calendar month as aggregates, newest first; the grid ends with the anchor's month.
 
-    Counts only what also lies in the trailing window, so the oldest partial month is left out and a month without
+    ``inside`` says whether a row lies in the trailing window and ``back`` how many months before the anchor's. Only
+    rows that are in both the window and the grid count, so the oldest partial month is left out, and a month without
     rows is zero.
     """
-    offset = months_back(date, anchor)
-    inside = in_window(date, anchor, months)
-    return [sum_or_zero(F.when(inside & (offset == i), amount)) for i in range(months)]
-
-
-def in_grid(date: Column, anchor: Column, months: int = 6) -> Column:
-    """True where the month grid counts the date."""
-    return in_window(date, anchor, months) & (months_back(date, anchor) < months)
+    return [sum_or_zero(F.when(inside & (back == i), amount)) for i in range(months)]
 
 
 def previous_day(condition: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.dates import in_window
+from creditloom.functions.dates import in_window, months_back
 from creditloom.functions.labels import contains_safe
 from creditloom.functions.lending import signed_amount
 from creditloom.functions.numbers import eps_ratio, mean_of_present, sample_std_of, sum_or_zero, whole_units
@@ -124,16 +124,24 @@ def transaction_features(
     """
     anchors = tg.anchor_dates(applications)
     day, anchor = F.col(DAY), F.col(ANCHOR)
-    last_6, last_12 = in_window(day, anchor, 6), in_window(day, anchor, 12)
-    grid = tg.in_grid(day, anchor, 6)
-    earns = (F.col("incomes") > 0) & last_12
-
+    earns = (F.col("incomes") > 0) & in_window(day, anchor, 12)
     unit = whole_units(transactions, "amount")[1]
 
-    # all three in one window step
-    history = tg.point_in_time(anchors, daily_rollup(transactions, rules)).withColumns(
-        {**tg.balance_columns(), "income_gap": F.when(earns, F.datediff(day, tg.previous_day(earns)))}
+    # all windows in one step, then what several aggregates share
+    history = (
+        tg.point_in_time(anchors, daily_rollup(transactions, rules))
+        .withColumns({**tg.balance_columns(), "income_gap": F.when(earns, F.datediff(day, tg.previous_day(earns)))})
+        .withColumns(
+            {
+                "last_6": in_window(day, anchor, 6),
+                "last_12": in_window(day, anchor, 12),
+                "back": months_back(day, anchor),
+                **tg.month_span(6),
+            }
+        )
     )
+    last_6, last_12, back = F.col("last_6"), F.col("last_12"), F.col("back")
+    grid = last_6 & (back < 6)
 
     def money(col: Column) -> Column:
         return col.cast("double") / unit
@@ -144,7 +152,7 @@ def transaction_features(
     credits = [f"credit_{i}" for i in range(6)]
     lows = [f"low_{i}" for i in range(7)]
     totals = history.groupBy(KEY).agg(
-        *[money(c).alias(n) for c, n in zip(tg.month_grid(F.col("credit"), day, anchor, 6), credits)],
+        *[money(c).alias(n) for c, n in zip(tg.month_grid(F.col("credit"), last_6, back, 6), credits)],
         money(sum_or_zero(F.when(grid, F.col("credit")))).alias("credit_total"),
         money(sum_or_zero(F.when(grid, F.col("essential")))).alias("essential_total"),
         money(sum_or_zero(F.when(grid, F.col("discretionary")))).alias("discretionary_total"),

@@ -122,9 +122,12 @@ class Trained:
     pipelines: dict[str, PipelineModel]
     scored: dict[str, DataFrame]
     preparation: Preparation
+    areas: dict[str, float] = field(default_factory=dict)
 
     def auc(self, name: str) -> float:
-        return metrics.roc_auc(self.scored[name], LABEL).first()[0]
+        if name not in self.areas:
+            self.areas[name] = metrics.roc_auc(self.scored[name], LABEL).first()[0]
+        return self.areas[name]
 
     def report(self, name: str, threshold: float | None = None) -> DataFrame:
         rows = self.scored[name]
@@ -168,7 +171,8 @@ def train_evaluate(
         else:
             raise ValueError(f"unknown classifier {kind}")
     pipelines = {k: PipelineModel([*preparation.stages(), m]) for k, m in fitted.items()}
-    scored = {k: models.score(p, test, KEY, LABEL) for k, p in pipelines.items()}
+    # stored, as every metric reads the scores several times
+    scored = {k: stored(models.score(p, test, KEY, LABEL), f"scored-{k}") for k, p in pipelines.items()}
     return Trained(pipelines, scored, preparation)
 
 

@@ -101,7 +101,7 @@ def test_minimum_balance_carries_over_a_gap(spark):
     )
     anchors = spark.createDataFrame([("c", date("2024-08-15"))], "customer_id string, anchor_date date")
     history = timegrid.point_in_time(anchors, days)
-    lows = timegrid.running_balance(history).groupBy("customer_id").agg(
+    lows = timegrid.running_balance(history).withColumns(timegrid.month_span(6)).groupBy("customer_id").agg(
         *[c.alias(f"low_{i}") for i, c in enumerate(timegrid.month_minima(6))]
     )
     assert list(lows.first())[1:] == [None, None, None, 12, 12, 10, 10]

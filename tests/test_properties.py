@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.functions.dates import in_window, months_back
 from creditloom.modelling import metrics, split
 from creditloom.operators import encoding, quantiles, running, selection, skew
 from creditloom.operators import timegrid as tg
@@ -159,7 +160,7 @@ def test_grid_sums_stay_within_the_window(spark):
     days = spark.sql("select 'c' as customer_id, explode(sequence(date'2023-01-01', date'2024-12-31')) as day, 1D as v")
     anchors = spark.sql("select 'c' as customer_id, date'2024-08-31' as anchor_date")
     day, anchor = F.col("day"), F.col("anchor_date")
-    grid = tg.month_grid(F.col("v"), day, anchor)
+    grid = tg.month_grid(F.col("v"), in_window(day, anchor, 6), months_back(day, anchor))
     row = tg.point_in_time(anchors, days).groupBy("customer_id").agg(*[c.alias(f"m{i}") for i, c in enumerate(grid)])
     assert list(row.first())[1:] == [31, 31, 30, 31, 30, 31]
 
