@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 1000
-FEW_ROWS = 1_000_000
+FEW_ROWS = 100_000
 
 
 @dataclass
@@ -65,30 +65,42 @@ class _Target:
         return self.inside < before
 
 
+def _by_bracket(targets: list[_Target]) -> list[list[_Target]]:
+    """Targets that enclose the same rows go together, so that those rows are looked at once."""
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.column, t.low, t.high), []).append(t)
+    return list(groups.values())
+
+
 def _narrow(numbers: DataFrame, targets: list[_Target]) -> None:
     open_targets = [t for t in targets if t.inside > FEW_ROWS]
     while open_targets:
-        sketch = numbers.agg(
+        groups = _by_bracket(open_targets)
+        sketches = numbers.agg(
             *[
-                F.percentile_approx(F.when(t.within(), F.col(t.column)), t.bounds(), ACCURACY).alias(f"b{i}")
-                for i, t in enumerate(open_targets)
+                F.percentile_approx(
+                    F.when(group[0].within(), F.col(group[0].column)), [p for t in group for p in t.bounds()], ACCURACY
+                )
+                for group in groups
             ]
         ).first()
+        ordered = [t for group in groups for t in group]
+        ends = [value for sketch in sketches for value in sketch]
+        pairs = list(zip(ordered, ends[::2], ends[1::2]))
         counted = numbers.agg(
             *[
-                F.count_if(t.within() & test).alias(f"{name}{i}")
-                for i, t in enumerate(open_targets)
-                for name, test in (
-                    ("less", F.col(t.column) < sketch[f"b{i}"][0]),
-                    ("upto", F.col(t.column) <= sketch[f"b{i}"][1]),
-                )
+                F.count_if(t.within() & test)
+                for t, low, high in pairs
+                for test in (F.col(t.column) < low, F.col(t.column) <= high)
             ]
         ).first()
         gained = [
-            t.narrow(*sketch[f"b{i}"], counted[f"less{i}"], counted[f"upto{i}"]) for i, t in enumerate(open_targets)
+            t.narrow(low, high, less, upto)
+            for (t, low, high), less, upto in zip(pairs, list(counted)[::2], list(counted)[1::2])
         ]
         # rows that cannot be told apart further share few values, which the counting by value below brings together
-        open_targets = [t for t, more in zip(open_targets, gained) if more and t.inside > FEW_ROWS]
+        open_targets = [t for t, more in zip(ordered, gained) if more and t.inside > FEW_ROWS]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
@@ -107,8 +119,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         return df.sparkSession.createDataFrame([], "column_name string, probability double, value double")
     _narrow(numbers, targets)
 
+    groups = _by_bracket(targets)
     tagged = [
-        F.when(t.within(), F.struct(F.lit(k).alias("k"), F.col(t.column).alias("value"))) for k, t in enumerate(targets)
+        F.when(group[0].within(), F.struct(F.lit(k).alias("k"), F.col(group[0].column).alias("value")))
+        for k, group in enumerate(groups)
     ]
     by_value = (
         numbers.select(F.explode(F.array_compact(F.array(*tagged))).alias("e"))
@@ -117,7 +131,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     )
     ordered = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     wanted = df.sparkSession.createDataFrame(
-        [(k, t.name, t.probability, t.first - t.below, t.second - t.below, t.weight) for k, t in enumerate(targets)],
+        [
+            (k, t.name, t.probability, t.first - t.below, t.second - t.below, t.weight)
+            for k, group in enumerate(groups)
+            for t in group
+        ],
         "k int, column_name string, probability double, first long, second long, weight double",
     )
     ranked = by_value.withColumn("upto", F.sum("n").over(ordered)).join(F.broadcast(wanted), "k")
