@@ -10,6 +10,7 @@ from creditloom.catalog.kit import Catalog, comparable
 from creditloom.functions.dates import in_window, months_back
 from creditloom.functions.labels import contains_safe
 from creditloom.functions.lending import signed_amount
+from creditloom.functions.numbers import whole_units
 from creditloom.operators import assemble as asm
 from creditloom.operators import credit as cr
 from creditloom.operators import timegrid as tg
@@ -288,7 +289,9 @@ _txn_part("recurring_salary", ["has_recurring_salary_flag"])
 _txn_part("eps_ratio", ["essential_to_discretionary_spend_ratio"])
 
 
-UNIT = 100  # the bound amounts are sums of hundredths in the daily table
+def _unit(spark: SparkSession, d: str) -> int:
+    """What the amounts of the daily table count."""
+    return whole_units(b.transactions(spark, d), "amount")[1]
 
 
 def _history(spark: SparkSession, d: str, how: str = "left") -> DataFrame:
@@ -393,7 +396,7 @@ def _(spark, d):
     ]
     wide = _history(spark, d).groupBy("customer_id").agg(F.array(*sums).alias("grid"))
     rows = wide.select("customer_id", F.inline("grid"))
-    return comparable(rows.withColumns({k: F.col(k) / UNIT for k in kinds}), 2)
+    return comparable(rows.withColumns({k: F.col(k).cast("double") / _unit(spark, d) for k in kinds}), 2)
 
 
 @catalog.add(
@@ -403,9 +406,10 @@ def _(spark, d):
     from grid_sums group by customer_id""",
 )
 def _(spark, d):
-    grid = tg.month_grid(F.col("credit"), *_window_and_month(), 6)
+    unit = _unit(spark, d)
+    grid = [c.cast("double") / unit for c in tg.month_grid(F.col("credit"), *_window_and_month(), 6)]
     return comparable(
-        _history(spark, d).groupBy("customer_id").agg(*[(c / UNIT).alias(f"credit_{i}") for i, c in enumerate(grid)]), 2
+        _history(spark, d).groupBy("customer_id").agg(*[c.alias(f"credit_{i}") for i, c in enumerate(grid)]), 2
     )
 
 

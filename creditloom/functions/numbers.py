@@ -53,9 +53,11 @@ def whole_units(df: DataFrame, column: str) -> tuple[Column, int]:
     """An exact decimal amount as a count of its smallest unit, and how many of those make one.
 
     Sums of longs are as exact as sums of decimals, and several times faster, as a wide decimal has no fixed-width
-    arithmetic. An overflow raises. Other types are left alone, with a divisor of 1.
+    arithmetic. That needs ANSI mode, in which an overflow raises instead of wrapping around; without it, and for other
+    types, the amount is left alone, with a divisor of 1.
     """
     kind = df.schema[column].dataType
-    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+    ansi = df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+    if ansi and isinstance(kind, T.DecimalType) and kind.precision <= 18:
         return (F.col(column) * F.lit(10**kind.scale)).cast("long"), 10**kind.scale
     return F.col(column), 1

@@ -288,6 +288,20 @@ def test_whole_units_keep_cents(spark):
     col, unit = numbers.whole_units(df, "a")
     assert df.select(col).first()[0] == 1234 and unit == 100
     assert numbers.whole_units(df, "b")[1] == 1
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert numbers.whole_units(df, "a")[1] == 1
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_overflowing_money_raises(spark):
+    df = spark.sql(
+        "select 'c' as customer_id, date'2024-01-01' as transaction_date, "
+        "cast(9e15 as decimal(18,2)) as amount, 'credit' as type, 'x' as description, 'Income' as category from range(20)"
+    )
+    with pytest.raises(PySparkException, match="overflow|OVERFLOW"):
+        transactions.daily_rollup(df).collect()
 
 
 def test_training_view_has_seventy_columns():
