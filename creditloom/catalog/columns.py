@@ -15,11 +15,14 @@ from creditloom.catalog.features import (
 from creditloom.catalog.kit import Catalog, comparable
 from creditloom.functions import dates, labels, lending
 from creditloom.operators import assemble as asm
+from creditloom.operators import credit as cr
 from creditloom.operators import encoding as en
 from creditloom.operators import selection as sel
+from creditloom.operators.profiling import ranges
+from creditloom.operators.skew import spread_join
 from creditloom.plans.jobs import application_metrics
-from creditloom.sources.files import read_table, write_csv, write_parquet
 from creditloom.session import scratch_dir, stored
+from creditloom.sources.files import read_table, write_csv, write_parquet
 
 catalog = Catalog()
 
@@ -127,7 +130,8 @@ def _(spark, d):
     f"""{APPS} select customer_id, loan_id, age, gender, loan_purpose, is_default from applications""",
 )
 def _(spark, d):
-    apps = b.applications(spark, d).select("pincode", "is_default", "age", "gender", "loan_purpose", "loan_id", "customer_id")
+    mixed = ("pincode", "is_default", "age", "gender", "loan_purpose", "loan_id", "customer_id")
+    apps = b.applications(spark, d).select(*mixed)
     return sel.order_columns(apps, first=("customer_id", "loan_id"), last=("is_default",), drop=("pincode",))
 
 
@@ -138,7 +142,8 @@ def _(spark, d):
 )
 def _(spark, d):
     """Sums over the columns that are numbers in a mixed selection."""
-    apps = b.applications(spark, d).select("age", "gender", "application_date", "num_dependents", "pincode", "loan_term_months")
+    mixed = ("age", "gender", "application_date", "num_dependents", "pincode", "loan_term_months")
+    apps = b.applications(spark, d).select(*mixed)
     return apps.agg(*[F.sum(c).alias(c) for c in sel.cols_of_type(apps, "number")])
 
 
@@ -202,8 +207,6 @@ _CANDIDATES = ["age", "num_dependents", "is_urban_residence", "loan_term_months"
 )
 def _(spark, d):
     """Numeric columns worth scaling, with their ranges; one listed flag is left out by name."""
-    from creditloom.operators.profiling import ranges
-
     apps = b.applications(spark, d).select(*_CANDIDATES)
     return comparable(ranges(apps, sel.scalable_columns(apps, exclude=("num_dependents",))))
 
@@ -422,11 +425,10 @@ def _(spark, d):
     round(coalesce(avg_account_age_months, 0), 4) as avg_account_age_months, gender from joined""",
 )
 def _(spark, d):
-    from creditloom.operators import credit as cr
-
     apps = b.applications(spark, d)
     credit = cr.credit_features(apps, b.credit_accounts(spark, d))
-    joined = apps.join(credit, "customer_id", "left").select("loan_id", "credit_score", "avg_account_age_months", "gender")
+    chosen = ("loan_id", "credit_score", "avg_account_age_months", "gender")
+    joined = spread_join(apps, credit, "customer_id", "loan_id", "left").select(*chosen)
     return comparable(asm.fill_zero(joined))
 
 

@@ -18,7 +18,6 @@ from creditloom.catalog.features import (
 from creditloom.catalog.kit import Catalog, comparable
 from creditloom.modelling import metrics, models, split
 from creditloom.modelling.search import SearchSpace, random_search, search_result
-from creditloom.operators import encoding as en
 from creditloom.operators.assemble import ENGINEERED
 from creditloom.operators.profiling import value_counts
 from creditloom.plans import jobs, training

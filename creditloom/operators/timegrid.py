@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from creditloom.functions.dates import in_window, month_start_back, months_back
+from creditloom.functions.dates import in_window, months_back
 from creditloom.functions.numbers import mean_of_present, sum_or_zero
 
 KEY, DAY, ANCHOR = "customer_id", "day", "anchor_date"
@@ -61,7 +61,8 @@ def carry_forward(balances: DataFrame, moments: DataFrame, moment: str) -> DataF
 
     Both sides are keyed by customer; a moment before the first transaction gets null.
     """
-    marks = moments.select(KEY, F.col(moment).alias(DAY), F.lit(None).cast("double").alias("balance"), F.lit(1).alias("_m"))
+    unknown = F.lit(None).cast("double").alias("balance")
+    marks = moments.select(KEY, F.col(moment).alias(DAY), unknown, F.lit(1).alias("_m"))
     known = balances.select(KEY, DAY, F.col("balance").cast("double"), F.lit(0).alias("_m"))
     order = Window.partitionBy(KEY).orderBy(DAY, "_m").rowsBetween(Window.unboundedPreceding, 0)
     seen = known.unionByName(marks).withColumn("balance", F.last("balance", ignorenulls=True).over(order))
