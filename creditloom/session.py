@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+
+#: Scratch paths written and not yet removed, oldest first.
+_written: list[str] = []
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -27,15 +30,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder the cluster shares through ``spark.checkpoint.dir``.
+    """A fresh path below the folder the cluster shares: ``spark.checkpoint.dir``, or the warehouse where that is unset.
 
-    Without that setting a temporary folder is taken, but only in local mode, where every task sees it.
+    Both are reached through Spark's file system, never through the driver's disk.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="creditloom-")
+        shared = spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -43,4 +44,29 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Writes the table to a scratch path and reads it back, so that several passes do not compute it again."""
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``stored`` has made and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path in _written:
+            _remove(table.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes every scratch table of this process. Results that still read them must have been taken before."""
+    for path in list(_written):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Through Spark's file system: the folder need not be local."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
