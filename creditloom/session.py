@@ -51,11 +51,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes the files of tables that ``stored`` has made and that nothing reads any more."""
+    """Removes the files of tables that ``stored`` has made and that nothing reads any more.
+
+    Shuffle files go when the driver's garbage is collected, so that is asked for too: else those of finished steps stay.
+    """
     for table in tables:
         path = getattr(table, "scratch_path", None)
         if path in _written:
             _remove(table.sparkSession, path)
+        table.sparkSession.sparkContext._jvm.System.gc()
 
 
 def clear_scratch(spark: SparkSession) -> None:
