@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, packing, quality, simhash, suffix
+from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, packing, quality, simhash, suffix
 from creditloom.llm.common import crc_of_id, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORDS)
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words or more that several documents hold: in the one that keeps them and in those that do not."""
     return suffix.repeats(table(spark, folder, "documents"))
@@ -32,6 +36,18 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     net = quality.fit(docs, table(spark, folder, "labels"))
@@ -50,8 +66,29 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op3_suffix_array_dedup, op4_simhash_near_dedup, op6_byte_bpe, op10_quality_classifier,
-        pipeline,
+        op1_best_fit_packing, op2_license_scan, op3_suffix_array_dedup, op4_simhash_near_dedup, op6_byte_bpe,
+        op7_document_fingerprints, op8_html_extraction, op9_embedding_near_dedup, op10_quality_classifier, pipeline,
     )
 }
-SQL: dict[str, str] = {}
+
+#: Every pair of valid vectors by their cosine in double precision, and what pairs reach.
+OP9_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, x -> x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95
+), reached as (
+  select a as vec_id, a as other from links union select r.vec_id, l.b from reached r join links l on l.a = r.other
+), found as (
+  select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
+         coalesce((select min(other) from reached r where r.vec_id = e.vec_id), e.vec_id) as component_id
+  from embeddings e
+)
+select vec_id, n_links, component_id, vec_id = component_id as kept from found
+"""
+
+#: For the other operators SQL lacks the tokenizers, the hash, the sketch, the parser or the trained model.
+SQL: dict[str, str] = {"op9_embedding_near_dedup": OP9_SQL}
