@@ -170,21 +170,29 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, purpose: str
     seeds = stored(texts.mapInArrow(partial(_seeds, least=least, seed=seed), "doc long, seed long"), purpose)
     shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("seed")
     own = units.where("id = unit").select(F.col("unit").alias("doc"))
-    live = seeds.join(shared, "seed").join(own, "doc").groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
+    live = stored(
+        seeds.join(shared, "seed").join(own, "doc").groupBy("doc").agg(F.collect_set("seed").alias("seeds")), purpose
+    )
+    discard(seeds)
 
     found = texts.join(live, "doc").mapInArrow(
         partial(_windows, least=least, seed=seed), "doc long, place int, digest long"
     )
     windows = stored(found, purpose)
-    again = windows.groupBy("digest").agg(F.min("doc").alias("holder"), F.max("doc").alias("b")).where("holder <> b")
-    met = windows.join(again.select("digest", "holder"), "digest").groupBy("doc").agg(
+    discard(live)
+    # stored, so that a common window's many places can be dealt to several tasks of the join
+    again = stored(
+        windows.groupBy("digest").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("holder <> last")
+        .select("digest", "holder"), purpose
+    )
+    met = windows.join(again, "digest").groupBy("doc").agg(
         F.collect_set(F.expr("if(doc > holder, place, null)")).alias("later"),
         F.collect_set(F.expr("if(doc = holder, place, null)")).alias("first"),
     )
     passages = stored(
         met.mapInArrow(partial(_joined, least=least), "doc long, first_word long, n_words long, removed boolean"), purpose
     )
-    discard(seeds, windows)
+    discard(windows, again)
     return units.join(passages, units.unit == passages.doc).select(
         F.col("id").alias("doc_id"), "first_word", "n_words", "removed"
     )

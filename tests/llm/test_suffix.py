@@ -77,11 +77,11 @@ def test_empty_and_odd_ids(spark, no_documents):
 def test_documents_without_their_repeats(spark):
     shared = " ".join(f"s{i}" for i in range(55))
     rows = [
-        (1, f"one  start\n{shared}\nend one", 9), (2, f"two start\n{shared}  end two", 9), (3, shared, 9), (4, "clean  text ", 12),
+        (1, f"one  start\n{shared}\nend one", 9), (2, f"two begin\n{shared}  stop two", 9), (3, shared, 9), (4, "clean  text ", 12),
         (5, None, None), (6, "", 0), (None, shared, 7),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in suffix.deduplicated(docs).collect()}
     assert got == {
-        1: (rows[0][1], 9), 2: ("two start\nend two", 17), 4: ("clean  text ", 12), 5: (None, None), 6: ("", 0), None: (shared, 7),
+        1: (rows[0][1], 9), 2: ("two begin\nstop two", 18), 4: ("clean  text ", 12), 5: (None, None), 6: ("", 0), None: (shared, 7),
     }
