@@ -17,8 +17,8 @@ from creditloom.llm.common import ranked_blocks, stored
 CELLS = 8
 ROUNDS = 60
 PER_BLOCK = 200_000
-#: Paragraphs end at line ends, and long ones are cut after sentences.
-BREAKS = r"(?<=[.!?])[ \t]+|[\r\n]+"
+#: What ends a paragraph.
+BREAKS = r"[\r\n]+"
 
 _CELL = "struct<at:int,n:int,k:bigint,c:bigint>"
 _LIST = "array<bigint>"
@@ -96,7 +96,7 @@ def _differing(a: str, b: str) -> str:
     The first try has the fingerprint's size, the last 16 cells or more for each digest.
     """
     sizes = f"transform(sequence(0, cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)), t -> cast({CELLS} * power(4, t) as int))"
-    one = difference(f"u.a", f"u.b", "z")
+    one = difference("u.a", "u.b", "z")
     tried = f"element_at(transform(array(named_struct('a', {sketch(a, 'z')}, 'b', {sketch(b, 'z')})), u -> {one}), 1)"
     return f"aggregate({sizes}, cast(null as struct<a:{_LIST},b:{_LIST}>), (found, z) -> coalesce(found, {tried}))"
 
