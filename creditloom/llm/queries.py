@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, packing, quality, simhash, suffix
+from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, mixing, packing, quality, simhash, suffix
 from creditloom.llm.common import crc_of_id, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.score(table(spark, folder, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_license_scan, op3_suffix_array_dedup, op4_simhash_near_dedup, op6_byte_bpe,
+        op1_best_fit_packing, op2_license_scan, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_byte_bpe,
         op7_document_fingerprints, op8_html_extraction, op9_embedding_near_dedup, op10_quality_classifier, pipeline,
     )
 }
