@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,21 +152,26 @@ def traverse(x: np.ndarray, one: Node, two: Node, links: Links, cosine: float) -
             todo += [(a.children[j], b) for j in near.tolist()]
 
 
-def unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of the same length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _placed(batches, pivots: dict[int, np.ndarray]):
     """Nearest pivot and the distance to it."""
     for batch in batches:
-        vectors = batch.column("v").to_pylist()
+        vectors = batch.column("v")
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
         cell, far = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
-        for size in {len(v) for v in vectors}:
-            own = [i for i, v in enumerate(vectors) if len(v) == size]
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
             if size in pivots:
-                d = distances(unit([vectors[i] for i in own]), pivots[size])
+                d = distances(unit(matrix(vectors.take(pa.array(own)))), pivots[size])
                 cell[own], far[own] = d.argmin(axis=1), d.min(axis=1)
             else:
                 far[own] = 2.0
@@ -177,7 +183,7 @@ def _placed(batches, pivots: dict[int, np.ndarray]):
 def _compared(table: pa.Table, cosine: float) -> pa.Table:
     """The links between two blocks, or within one: for each vector with a link their number and one to be joined with."""
     side = table.column("side").to_numpy()
-    x = unit(table.column("v").to_pylist())
+    x = unit(matrix(table.column("v").combine_chunks()))
     ids, links = table.column("rep").to_numpy(), Links(table.column("n").to_numpy())
     parts = [np.flatnonzero(side == s) for s in (0, 1)]
     trees = []
@@ -199,7 +205,7 @@ def _cells(classes: DataFrame) -> dict[int, np.ndarray]:
     rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
     found: dict[int, np.ndarray] = {}
     for size in sorted({len(r.v) for r in rows}):
-        x = unit([r.v for r in rows if len(r.v) == size])
+        x = unit(np.array([r.v for r in rows if len(r.v) == size]))
         found[size] = x[farthest_first(x, PIVOTS)[0]]
     return found
 
