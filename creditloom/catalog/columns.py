@@ -149,14 +149,14 @@ def _(spark, d):
 
 @catalog.add(
     "split_features_label",
-    f"{APPS} select loan_id, count(*) over () as n_rows, is_default from applications",
+    f"""{APPS} select loan_id, round(cast(monthly_gross_income as double), 2) as monthly_gross_income, loan_purpose, is_default
+    from applications""",
 )
 def _(spark, d):
-    """Features and label taken apart and joined again by key."""
-    features, label = sel.split_label(b.applications(spark, d), "is_default", "loan_id")
-    return features.join(label, "loan_id").select(
-        "loan_id", features.agg(F.count(F.lit(1))).scalar().alias("n_rows"), "is_default"
-    )
+    """Features and label taken apart, out of one scan: both parts of every row next to each other."""
+    parts = sel.features_and_label(b.applications(spark, d), "is_default", "loan_id")
+    income = F.round(F.col("features.monthly_gross_income").cast("double"), 2).alias("monthly_gross_income")
+    return parts.select("loan_id", income, F.col("features.loan_purpose"), "is_default")
 
 
 @catalog.add(
@@ -475,11 +475,11 @@ def _(spark, d):
 
 @catalog.add(
     "rounding",
-    "select l_orderkey, sum(round(l_extendedprice / 1000, 0)) as thousands from lineitem group by l_orderkey",
+    "select l_orderkey, sum(round_even(l_extendedprice / 1000, 0)) as thousands from lineitem group by l_orderkey",
 )
 def _(spark, d):
     lines = b.table(spark, d, "lineitem").groupBy("l_orderkey")
-    return lines.agg(F.sum(F.round(F.col("l_extendedprice") / 1000, 0)).alias("thousands"))
+    return lines.agg(F.sum(F.bround(F.col("l_extendedprice") / 1000, 0)).alias("thousands"))
 
 
 # ---------------------------------------------------------------- encoding

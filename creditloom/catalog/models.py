@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,6 @@ from creditloom.catalog.features import (
 )
 from creditloom.catalog.kit import Catalog, comparable
 from creditloom.modelling import metrics, models, split
-from creditloom.modelling.search import SearchSpace, random_search, search_result
 from creditloom.operators.assemble import ENGINEERED
 from creditloom.operators.profiling import value_counts
 from creditloom.plans import jobs, training
@@ -287,31 +284,17 @@ def _(spark, d):
     return comparable(metrics.pr_curve(b.scored_rows(spark, d)), 6)
 
 
-# ---------------------------------------------------------------- models: small settings, so that a run stays short
-
-_SMALL = {
-    "logistic": {},
-    "forest": {"numTrees": 20, "maxDepth": 6},
-    "boosted": {"maxIter": 8, "maxDepth": 3},
-}
-
-
-@lru_cache(maxsize=4)
-def _split_view(spark: SparkSession, d: str):
-    """Preparation, training vectors, raw training and test rows; stored once per session and folder."""
-    return training.prepared_split(_view(spark, d))
+# ---------------------------------------------------------------- models, at the library's own settings
 
 
 def _fitted(spark: SparkSession, d: str, kind: str):
-    preparation, train, _, test = _split_view(spark, d)
+    preparation, train, _, test = training.prepared_split(_view(spark, d))
     if kind == "logistic":
-        model = models.fit_logistic(train, training.LABEL, **_SMALL[kind])
+        model = models.fit_logistic(train, training.LABEL)
     elif kind == "forest":
-        weighted = metrics.with_class_weight(train, training.LABEL, "balanced")
-        model = models.fit_forest(weighted, training.LABEL, **_SMALL[kind])
+        model = models.fit_forest(metrics.with_class_weight(train, training.LABEL, "balanced"), training.LABEL)
     else:
-        weighted = metrics.with_class_weight(train, training.LABEL, "positive_ratio")
-        model = models.fit_boosted(weighted, training.LABEL, **_SMALL[kind])
+        model = models.fit_boosted(metrics.with_class_weight(train, training.LABEL, "positive_ratio"), training.LABEL)
     pipeline = models.PipelineModel([*preparation.stages(), model])
     return pipeline, model, preparation, test
 
@@ -334,45 +317,45 @@ def _(spark, d):
     return models.importances(spark, model, preparation.inputs)
 
 
-@catalog.add("random_search")
-def _(spark, d):
-    """Three draws on two folds from narrow ranges, with their mean areas under the curve."""
-    _, train, _, _ = _split_view(spark, d)
-    weighted = metrics.with_class_weight(train, training.LABEL, "positive_ratio")
-    space = SearchSpace(rounds=(3, 6), depth=(2, 4))
-    found = random_search(weighted, training.LABEL, training.KEY, space, draws=3, folds=2)
-    return search_result(spark, found)
-
-
-@catalog.add("model_round_trip")
+@catalog.add("model_round_trip", f"{_SPLIT} select loan_id, true as same_score from split where is_test")
 def _(spark, d):
-    """Scores before saving and after loading."""
+    """Whether every test row has the same score before saving and after loading."""
     pipeline, _, _, test = _fitted(spark, d, "logistic")
     path = scratch_dir(spark, "model")
     models.save_model(pipeline, path)
-    before = models.score(pipeline, test, training.KEY).withColumnRenamed("score", "score_before")
-    after = models.score(models.load_model(path), test, training.KEY).withColumnRenamed("score", "score_after")
-    return before.drop("prediction").join(after.drop("prediction"), training.KEY)
+    before = models.score(pipeline, test, training.KEY).select(training.KEY, F.col("score").alias("before"))
+    after = models.score(models.load_model(path), test, training.KEY).select(training.KEY, F.col("score").alias("after"))
+    return before.join(after, training.KEY).select(training.KEY, (F.col("before") == F.col("after")).alias("same_score"))
 
 
-@catalog.add("score_batch")
+@catalog.add(
+    "score_batch",
+    f"{_APPS} select loan_id, true as has_probability, true as has_class from applications",
+)
 def _(spark, d):
-    """A saved pipeline, loaded and applied to the whole view at a threshold of 0.30."""
+    """A saved pipeline, loaded and applied to the whole view at a threshold of 0.30: what every row must have."""
     pipeline, _, _, _ = _fitted(spark, d, "forest")
     path = scratch_dir(spark, "model")
     models.save_model(pipeline, path)
-    return training.score_batch(path, _view(spark, d), threshold=0.30)
+    scored = training.score_batch(path, _view(spark, d), threshold=0.30)
+    return scored.select(
+        training.KEY, F.col("score").between(0, 1).alias("has_probability"),
+        (F.col("prediction") == (F.col("score") >= 0.30).cast("int")).alias("has_class"),
+    )
 
 
 @catalog.add("train_evaluate_save")
 def _(spark, d):
-    """One row per classifier: area under the curve on the test rows, and whether it was saved as the best."""
-    trained = training.train_evaluate_save(_view(spark, d), scratch_dir(spark, "model"), params=_SMALL)
-    best = trained.best()
+    """One row per classifier: confusion on the test rows, area under the curve, and whether it was saved."""
+    trained = training.train_evaluate_save(_view(spark, d), scratch_dir(spark, "model"), save="boosted")
+
+    def cell(label: int, prediction: int):
+        return F.max(F.when((F.col("label") == label) & (F.col("prediction") == prediction), F.col("n")))
+
     rows = [
-        metrics.roc_auc(scored, training.LABEL).select(
-            F.lit(kind).alias("classifier"), "roc_auc", F.lit(kind == best).alias("saved")
+        trained.confusion(kind).agg(*[cell(l, p).alias(f"n{l}{p}") for l in (0, 1) for p in (0, 1)]).select(
+            F.lit(kind).alias("classifier"), "*", F.lit(trained.auc(kind)).alias("roc_auc"), F.lit(kind == "boosted").alias("saved")
         )
-        for kind, scored in trained.scored.items()
+        for kind in trained.scored
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -53,7 +53,7 @@ def _(spark, d):
     return pf.top_k(b.table(spark, d, "orders"), "o_custkey", 10)
 
 
-_MODES = {"p_size": "part", "p_brand": "part", "p_type": "part"}
+_MODES = {c: "part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")}
 
 
 @catalog.add(
@@ -68,7 +68,7 @@ def _(spark, d):
     return pf.mode(b.table(spark, d, "part"), list(_MODES))
 
 
-_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @catalog.add(
@@ -96,7 +96,7 @@ _PART_COLUMNS = ["p_partkey", "p_size", "p_retailprice"]
 
 @catalog.add("describe", _described(_LINE, "lineitem"))
 def _(spark, d):
-    return comparable(pf.describe(b.table(spark, d, "lineitem"), _LINE))
+    return comparable(pf.describe(b.table(spark, d, "lineitem")))
 
 
 @catalog.add("describe_parts", _described(_PART_COLUMNS, "part"))
@@ -123,12 +123,12 @@ def _(spark, d):
     return pf.null_counts(joined, _FEATURES)
 
 
-_DISTINCT = ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+_DISTINCT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @catalog.add("n_unique", _stacked({c: [f"count(distinct {c})"] for c in _DISTINCT}, "orders", ["n_unique"]))
 def _(spark, d):
-    return n_unique(b.table(spark, d, "orders"), _DISTINCT)
+    return n_unique(b.table(spark, d, "orders"))
 
 
 @catalog.add(
@@ -137,7 +137,7 @@ def _(spark, d):
              "lineitem", ["min", "max"]),
 )
 def _(spark, d):
-    return comparable(pf.ranges(b.table(spark, d, "lineitem"), _LINE))
+    return comparable(pf.ranges(b.table(spark, d, "lineitem")))
 
 
 _RATIOS = ["debt_to_income_ratio_computed", "essential_to_discretionary_spend_ratio"]
@@ -186,6 +186,20 @@ _TEXTS = ["gender", "marital_status", "education_level", "residential_status", "
 
 @catalog.add(
     "profile",
+    f"{APPS} "
+    + " union all ".join(
+        f"select '{c}' as column_name, {c} as value, count(*) as n from applications where {c} is not null group by {c}"
+        for c in _TEXTS
+    ),
+)
+def _(spark, d):
+    """Every value of every category column with its count, out of the profile tables."""
+    apps = b.applications(spark, d).select(*_TEXTS, "is_default")
+    return pf.profile(apps, "is_default")["counts"]()
+
+
+@catalog.add(
+    "profile_top",
     f"""{APPS}, counted as ({" union all ".join(
         f"select '{c}' as column_name, {c} as value, count(*) as n from applications group by {c}" for c in _TEXTS)}),
     placed as (select *, row_number() over (partition by column_name order by n desc, value) as place from counted)
@@ -195,7 +209,7 @@ def _(spark, d):
     """The ten most frequent values of every category column, taken from the profile tables."""
     tables = pf.profile(b.applications(spark, d), "is_default")
     tops = [
-        tables[f"top_{c}"].select(F.lit(c).alias("column_name"), F.col(c).alias("value"), "n") for c in _TEXTS
+        tables[f"top_{c}"]().select(F.lit(c).alias("column_name"), F.col(c).alias("value"), "n") for c in _TEXTS
     ]
     joined = tops[0]
     for top in tops[1:]:

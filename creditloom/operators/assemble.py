@@ -12,6 +12,7 @@ from creditloom.operators.credit import CREDIT_FEATURES, KEY
 from creditloom.operators.skew import spread_join
 from creditloom.operators.transactions import TRANSACTION_FEATURES
 
+# Names of the columns, which jobs and files share.
 COMPOSITES = (
     "effective_monthly_income", "total_monthly_emi_obligations", "debt_to_income_ratio_computed",
     "residual_income_after_emi",

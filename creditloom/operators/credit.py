@@ -16,6 +16,7 @@ KEY = "customer_id"
 ACTIVE, REVOLVING = "Active", "Credit Card"
 AS_OF = "2024-12-31"
 
+# Names of the columns, which jobs and files share.
 ACCOUNT_COLUMNS = (
     KEY, "account_id", "credit_score", "account_open_date", "account_type", "account_status", "sanctioned_limit",
     "current_balance", "max_dpd_past_24m", "num_30_dpd_last_6m", "num_90_dpd_last_12m", "num_defaults_total",

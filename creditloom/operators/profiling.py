@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from creditloom.operators.quantiles import exact_quantiles
 from creditloom.operators.selection import cols_of_type, n_unique
 
 __all__ = [
-    "class_ratio", "describe", "info", "mode", "n_unique", "null_counts", "profile", "ranges", "sentinel_report",
+    "all_counts", "class_ratio", "describe", "info", "mode", "n_unique", "null_counts", "profile", "ranges", "sentinel_report",
     "shape", "top_k", "value_counts",
 ]
 
@@ -49,19 +51,24 @@ def mode(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Values are counted where they are, by pair of column and value. The tie is settled in the column's own order.
     """
-    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    numbers = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
 
     def pair(c: str) -> Column:
-        number = F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
-        return F.struct(F.lit(c).alias("column_name"), number.alias("number"), F.col(c).cast("string").alias("value"))
+        # whole numbers stay such: as doubles, large ones would lose their order
+        whole = isinstance(numbers.get(c), T.IntegralType)
+        integer = F.col(c).cast("long") if whole else F.lit(None).cast("long")
+        number = F.col(c).cast("double") if c in numbers and not whole else F.lit(None).cast("double")
+        return F.struct(
+            F.lit(c).alias("column_name"), integer.alias("whole"), number.alias("number"), F.col(c).cast("string").alias("value")
+        )
 
     counted = (
         df.select(F.explode(F.array(*[pair(c) for c in columns])).alias("p"))
         .where(F.col("p.value").isNotNull())
-        .groupBy("p.column_name", "p.number", "p.value")
+        .groupBy("p.column_name", "p.whole", "p.number", "p.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    best = F.min(F.struct(-F.col("n"), F.col("number"), F.col("value")))
+    best = F.min(F.struct(-F.col("n"), F.col("whole"), F.col("number"), F.col("value")))
     return counted.groupBy("column_name").agg(best.alias("best")).select("column_name", "best.value")
 
 
@@ -131,18 +138,27 @@ def info(df: DataFrame) -> DataFrame:
     return counts.select(place[name].alias("position"), name, kind[name].alias("type"), "n_known")
 
 
-def profile(df: DataFrame, label: str | None = None, k: int = 10) -> dict[str, DataFrame]:
-    """All profile tables, each computed only when it is used."""
+def all_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column_name, value, n) for every value of the columns, as text and without nulls; one pass, no ordering."""
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    counted = df.select(F.explode(F.array(*pairs)).alias("p")).where(F.col("p.value").isNotNull())
+    return counted.groupBy("p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile(df: DataFrame, label: str | None = None, k: int = 10) -> dict[str, Callable[[], DataFrame]]:
+    """All profile tables by name. Each is made when it is called, so that nobody pays for quartiles they do not read."""
     texts = cols_of_type(df, "string")
-    tables = {
-        "shape": shape(df),
-        "info": info(df),
-        "describe": describe(df),
-        "null_counts": null_counts(df),
-        "n_unique": n_unique(df, texts) if texts else None,
-        **{f"top_{c}": top_k(df, c, k) for c in texts},
+    tables: dict[str, Callable[[], DataFrame]] = {
+        "shape": lambda: shape(df),
+        "info": lambda: info(df),
+        "describe": lambda: describe(df),
+        "null_counts": lambda: null_counts(df),
+        **{f"top_{c}": lambda c=c: top_k(df, c, k) for c in texts},
     }
+    if texts:
+        tables["n_unique"] = lambda: n_unique(df, texts)
+        tables["counts"] = lambda: all_counts(df, texts)
     if label:
-        tables["label_counts"] = value_counts(df, label)
-        tables["label_shares"] = value_counts(df, label, normalize=True)
-    return {name: table for name, table in tables.items() if table is not None}
+        tables["label_counts"] = lambda: value_counts(df, label)
+        tables["label_shares"] = lambda: value_counts(df, label, normalize=True)
+    return tables

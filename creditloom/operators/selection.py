@@ -37,6 +37,12 @@ def split_label(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFra
     return df.drop(label), df.select(key, label)
 
 
+def features_and_label(df: DataFrame, label: str, key: str) -> DataFrame:
+    """(key, features, label): both parts of every row out of one scan; ``features`` is a struct of the other columns."""
+    rest = [c for c in df.columns if c not in (label, key)]
+    return df.select(key, F.struct(*rest).alias("features"), label)
+
+
 def n_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row (column_name, n_unique) per column; nulls do not count.
 

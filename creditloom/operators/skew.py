@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 _WAYS, _SLOT = "_ways", "_slot"
 
 
-def heavy_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """Keys that hold more than one in ``share`` of the rows, with the number of slots to spread each over.
+#: Rows of one key that one task takes, about.
+ROWS_PER_SLOT = 1_000_000
+#: Most keys that are spread, which bounds the broadcast list of them.
+MOST_KEYS = 100_000
 
-    Fewer than ``share`` keys can exceed that part, so the result is small enough to broadcast whatever the input.
-    The slots of all heavy keys together stay below twice ``share``.
+
+def heavy_keys(rows: DataFrame, key: str, per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Keys with more rows than one task takes, with the number of slots to spread each over.
+
+    A slot holds about ``per_slot`` rows whatever the table's size. Above ``MOST_KEYS * per_slot`` rows in all (10^11
+    with the defaults) a key must hold more than one in ``MOST_KEYS`` of them, so that the list never exceeds that.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    ways = F.ceil(F.col("_n") * share / total).cast("int").alias(_WAYS)
-    return counts.where((F.col("_n") * share > total) & (F.col("_n") > 1)).select(key, ways)
+    ways = F.ceil(F.col("_n") / F.lit(per_slot)).cast("int").alias(_WAYS)
+    return counts.where((F.col("_n") > per_slot) & (F.col("_n") * MOST_KEYS > total)).select(key, ways)
 
 
 def spread_join(
-    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner", share: int = 1000
+    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner", per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
     """Inner or left join on ``key``; ``per_key`` has one row per key.
 
@@ -31,10 +37,11 @@ def spread_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be spread")
-    heavy = heavy_keys(rows, key, share)
-    ways = F.when(F.col(key).isNull(), F.lit(share)).otherwise(F.coalesce(F.col(_WAYS), F.lit(1)))
-    slot = F.pmod(F.xxhash64(spread_by), ways).cast("int").alias(_SLOT)
-    slots = F.sequence(F.lit(0), F.coalesce(F.col(_WAYS), F.lit(1)) - 1)
+    heavy = heavy_keys(rows, key, per_slot)
+    hashed = F.xxhash64(spread_by)
+    spread = F.pmod(hashed, F.coalesce(F.col(_WAYS), F.lit(1)).cast("long"))
+    slot = F.when(F.col(key).isNull(), hashed).otherwise(spread).alias(_SLOT)
+    slots = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(_WAYS), F.lit(1)).cast("long") - 1)
     slotted = rows.join(F.broadcast(heavy), key, "left").select(*rows.columns, slot)
     repeated = per_key.join(F.broadcast(heavy), key, "left").select(*per_key.columns, F.explode(slots).alias(_SLOT))
     return slotted.join(repeated, [key, _SLOT], how).drop(_SLOT)

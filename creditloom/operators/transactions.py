@@ -16,6 +16,7 @@ from creditloom.sources.files import require
 
 KEY, DAY, ANCHOR = tg.KEY, tg.DAY, tg.ANCHOR
 
+# Names of the columns, which jobs and files share.
 TRANSACTION_COLUMNS = (KEY, "transaction_date", "amount", "type", "description", "category")
 
 TRANSACTION_FEATURES = (
@@ -88,6 +89,11 @@ def daily_rollup(transactions: DataFrame, rules: TransactionRules = TransactionR
     )
 
 
+def _upto_anchors(transactions: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Without the days after the last anchor, which can never count."""
+    return transactions.where(F.col("transaction_date") <= anchors.agg(F.max(ANCHOR)).scalar())
+
+
 def income_sources(
     transactions: DataFrame, anchors: DataFrame, rules: TransactionRules = TransactionRules(), months: int = 6
 ) -> DataFrame:
@@ -98,7 +104,9 @@ def income_sources(
     and is bounded by the calendar, whereas one customer's free-text descriptions could be too many for one task.
     """
     income = (F.col("category") == rules.income) & F.col("description").isNotNull()
-    seen = transactions.where(income).select(KEY, "description", F.col("transaction_date").alias(DAY)).distinct()
+    # no window begins earlier; a bound that a scan of dated files can skip by
+    first = F.date_sub(F.add_months(anchors.agg(F.min(ANCHOR)).scalar(), -months), 1)
+    seen = _upto_anchors(transactions, anchors).where(income & (F.col("transaction_date") >= first)).select(KEY, "description", F.col("transaction_date").alias(DAY)).distinct()
     again = F.lead(DAY).over(Window.partitionBy(KEY, "description").orderBy(DAY))
     steps = (
         seen.select(F.col(KEY).alias("_key"), DAY, again.alias("again"))
@@ -129,7 +137,7 @@ def transaction_features(
 
     # all windows in one step, then what several aggregates share
     history = (
-        tg.point_in_time(anchors, daily_rollup(transactions, rules))
+        tg.point_in_time(anchors, daily_rollup(_upto_anchors(transactions, anchors), rules))
         .withColumns({**tg.balance_columns(), "income_gap": F.when(earns, F.datediff(day, tg.previous_day(earns)))})
         .withColumns(
             {

@@ -21,7 +21,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    return nan_to_null(reader.load(path))
+        return nan_to_null(reader.load(path))
+    # other formats are written by this library without not-a-number; a wrapped column would keep filters from the scan
+    return reader.load(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

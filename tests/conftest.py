@@ -6,7 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from creditloom.session import local_session  # noqa: E402
+from creditloom.session import clear_scratch, local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 CHECKED = "/root/testdata/sf0.01"
@@ -17,4 +17,5 @@ def spark():
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

@@ -48,16 +48,22 @@ def test_curve_points(spark, skewed_scores):
         assert recall == pytest.approx(sum(over) / total)
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 7, 64])
-def test_running_total(spark, buckets):
+@pytest.mark.parametrize("rows_per_range", [1000, 150, 43, 5])
+def test_running_total(spark, rows_per_range):
     values = [(float(v), v % 3) for v in random.Random(1).sample(range(-500, 500), 300)]
     df = spark.createDataFrame(values, "x double, n long")
-    found = running.running_total(df, "x", ["n"], running.split_points(df, "x", buckets)).collect()
+    found = running.running_total(df, "x", ["n"], running.split_points(df, "x", rows_per_range)).collect()
     assert len(found) == 300
     for r in found:
         assert r.n_below == sum(n for x, n in values if x < r.x)
 
 
+def test_twice_the_rows_give_twice_the_ranges(spark):
+    df = spark.range(4000).selectExpr("cast(id as double) as x")
+    ranges = [len(running.split_points(part, "x", 100)) + 1 for part in (df.limit(2000), df)]
+    assert ranges[0] == pytest.approx(20, abs=1) and ranges[1] == pytest.approx(2 * ranges[0], abs=2)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 1001])
 def test_quantiles_equal_linear_interpolation(spark, size):
     rng = random.Random(size)
@@ -78,7 +84,7 @@ def test_quantiles_equal_linear_interpolation(spark, size):
 def test_quantiles_by_narrowing(spark, monkeypatch, accuracy, few):
     """Rough sketches and many rounds still give exact values, also where a third of the rows is one value."""
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
-    monkeypatch.setattr(quantiles, "FEW_ROWS", few)
+    monkeypatch.setattr(quantiles, "FEW_VALUES", few)
     values = [float(v) for v in np.random.default_rng(5).lognormal(size=2000)] + [1.0] * 1000
     df = spark.createDataFrame([(v, int(v * 3)) for v in values], "v double, w int").repartition(8)
     wanted = [0.0, 0.01, 0.5, 0.99, 1.0]
@@ -88,6 +94,26 @@ def test_quantiles_by_narrowing(spark, monkeypatch, accuracy, few):
         assert found["w", p] == pytest.approx(np.quantile([int(v * 3) for v in values], p), rel=1e-12)
 
 
+def test_no_task_orders_more_values_than_the_limit(spark, monkeypatch):
+    """Half of the rows are one value and the median lies just past it."""
+    monkeypatch.setattr(quantiles, "FEW_VALUES", 40)
+    monkeypatch.setattr(quantiles, "ACCURACY", 10)
+    ordered, seen = quantiles._order, []
+
+    def watched(counts, ranks):
+        for column, low, high in quantiles._open(ranks):
+            inside = counts.where((F.col("c") == column) & quantiles._between(F.col("value"), low, high))
+            seen.append((inside.count(), inside.select("value").distinct().count()))
+        ordered(counts, ranks)
+
+    monkeypatch.setattr(quantiles, "_order", watched)
+    values = [0.0] * 3000 + [1 + i / 7 for i in range(3001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(8)
+    assert quantiles.medians(df, ["v"])["v"] == np.quantile(values, 0.5)
+    assert quantiles.exact_quantiles(df, ["v"], [0.9]).first().value == pytest.approx(np.quantile(values, 0.9), rel=1e-12)
+    assert all(rows == distinct <= 40 for rows, distinct in seen)
+
+
 def test_medians_without_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.medians(df, ["v"]) == {"v": None}
@@ -180,5 +206,14 @@ def test_spread_join_equals_plain_join(spark, how, share):
 
 def test_heavy_keys_are_few_and_found(spark):
     rows = [("hot",)] * 500 + [(f"k{i}",) for i in range(1000)]
-    heavy = skew.heavy_keys(spark.createDataFrame(rows, "k string"), "k", share=100).collect()
-    assert [tuple(r) for r in heavy] == [("hot", 34)]
+    df = spark.createDataFrame(rows, "k string")
+    for per_slot in (20, 40):
+        heavy = skew.heavy_keys(df, "k", per_slot).collect()
+        assert [tuple(r) for r in heavy] == [("hot", -(-500 // per_slot))]
+
+
+def test_no_slot_exceeds_the_target_by_much(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id)) as k", "id as i")
+    ways = skew.heavy_keys(rows, "k", 500).first()[1]
+    sizes = rows.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("i"), F.lit(ways))).count().collect()
+    assert len(sizes) == ways == 20 and max(r["count"] for r in sizes) < 1.3 * 500

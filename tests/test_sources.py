@@ -1,6 +1,7 @@
 """Sources, sinks, column selection, scratch folder."""
 
 import datetime as dt
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -128,16 +129,28 @@ def test_encode_and_scale_orders_columns(spark):
 
 
 def test_scratch_folder_comes_from_the_session(tmp_path):
-    def stand_in(shared, master):
-        conf = SimpleNamespace(get=lambda key, default: shared if key == "spark.checkpoint.dir" else default)
-        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    def stand_in(shared):
+        settings = {"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": "hdfs://shared/warehouse"}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings[key] or default))
 
-    cluster = stand_in("hdfs://shared/folder/", "spark://host:7077")
+    cluster = stand_in("hdfs://shared/folder/")
     path = session.scratch_dir(cluster, "x")
     assert path.startswith("hdfs://shared/folder/x-") and path != session.scratch_dir(cluster, "x")
-    assert session.scratch_dir(stand_in(None, "local[8]"), "x")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.scratch_dir(stand_in(None, "spark://host:7077"), "x")
+    assert session.scratch_dir(stand_in(None), "x").startswith("hdfs://shared/warehouse/_scratch/x-")
+
+
+def test_discarded_tables_leave_no_files(spark):
+    df = session.stored(spark.range(3), "numbers")
+    path = Path(df.scratch_path.removeprefix("file:"))
+    assert path.exists()
+    session.discard(df)
+    assert not path.exists()
+
+
+def test_numeric_filter_reaches_a_parquet_scan(spark):
+    lines = files.read_table(spark, "/root/testdata/sf0.001/lineitem.parquet", fmt="parquet")
+    plan = lines.where("l_extendedprice > 10000")._jdf.queryExecution().toString()
+    assert "GreaterThan(l_extendedprice,10000.0)" in plan
 
 
 def test_stored_table_is_read_back(spark):
