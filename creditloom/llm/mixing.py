@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import accumulate
-from math import ceil, log10, sqrt
+from math import ceil, log, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ SEGMENT = 1 << 16  # longer texts are scored in parts of this many bytes
 TOGETHER = 1 << 18  # bytes worked on at once
 LANES = 32  # parts of texts mixed side by side
 BLOCK_ROWS = 1 << 12  # table rows whose counts are summed in one group
-CHUNK = 2048  # bits predicted between two steps of learning
+CHUNK = 512  # bytes predicted between two steps of learning
 GATES = 6  # letters of the word so far
 WEIGHTS = (0.35, 0.25, 0.4)  # before anything is learned from a text
 RATE = 0.002
@@ -39,6 +39,7 @@ QUANTUM = 12.0  # log odds are kept as whole numbers of 1/12
 #: Most tokens that are looked up in memory; those with at least 1/HEAVY of all occurrences, so there can be no more.
 HEAVY = 500_000
 TOKENS_HELD = 200_000  # distinct tokens that a task counts before it hands them on
+LN10 = log(10)
 END_TOKEN = b"\n"  # no word has white space
 FOLD, HELD_OUT = 7, 2
 
@@ -262,54 +263,53 @@ class Mixer:
 
         Bit by bit along the code's ways: the predictors' log odds are weighed by the gate's weights and added up; a
         refinement table, also learned as the text goes on, corrects the result. Every part starts with the same weights
-        and learns from its own past only, in steps of ``CHUNK`` bits. Parts are done side by side but do not touch.
+        and learns from its own past only, in steps of ``CHUNK`` bytes. Parts are done side by side but do not touch.
         """
         codes, spans = joined(parts)
-        cls = self.code.classes[codes]
-        rows = context_rows(codes, self.code)
-        scored = np.concatenate([np.arange(a, b) for a, b in spans])
-        length = self.code.length[cls[scored]]
-        stops = np.cumsum(length)
-        place = np.repeat(scored, length)
-        way = np.arange(len(place)) - np.repeat(stops - length - self.code.first[cls[scored]], length)
-        nodes, right = self.code.nodes[way], self.code.bits[way]
-        inputs = np.empty((len(place), len(ROWS)), np.float32)
-        for k, (t, r) in enumerate(zip(self.tables, rows)):
-            np.multiply(t[r[place] + nodes], np.float32(1 / QUANTUM), out=inputs[:, k], casting="unsafe")
-        gates = np.repeat(np.minimum(scored - _word_starts(codes)[scored], GATES - 1), length)
-
-        ends = np.cumsum(spans[:, 1] - spans[:, 0])
-        bounds = np.concatenate([[0], stops[ends - 1]])
-        many = len(parts)
-        weights = np.tile(np.array(WEIGHTS, np.float32), (many * GATES, 1))
+        code, many, sizes = self.code, len(parts), spans[:, 1] - spans[:, 0]
+        # bytes in order of step, then of part: what a step looks at lies together
+        own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(own // CHUNK, kind="stable")
+        lane = np.repeat(np.arange(many), sizes)[order]
+        scored = spans[lane, 0] + own[order]
+        byte_at = np.searchsorted(own[order] // CHUNK, np.arange(-(-sizes.max() // CHUNK) + 1))
+
+        cls = code.classes[codes[scored]]
+        length = code.length[cls]
+        bit_at = np.concatenate([[0], np.cumsum(length)])
+        way = (np.arange(bit_at[-1]) - np.repeat(bit_at[:-1] - code.first[cls], length)).astype(np.int32)
+        nodes, right = code.nodes[way], code.bits[way].astype(np.float32)
+        inputs = [
+            t[np.repeat(r[scored], length) + nodes] * np.float32(1 / QUANTUM) for t, r in zip(self.tables, context_rows(codes, code))
+        ]
+        gates = np.minimum(scored - _word_starts(codes)[scored], GATES - 1) + lane * GATES
+        base = np.repeat(lane * BUCKETS, length)
+
         half = BUCKETS // 2
+        weights = np.tile(np.array(WEIGHTS, np.float32), (many * GATES, 1))
         hits = np.tile(4 / (1 + np.exp(-(np.arange(BUCKETS) - half) / 2)), many)
         tries = np.full(many * BUCKETS, 4.0)
         total = np.zeros(many)
-        at, live = bounds[:-1].copy(), np.arange(many)
-        while len(live):
-            upto = np.minimum(at[live] + CHUNK, bounds[live + 1])
-            n = upto - at[live]
-            which = np.repeat(live, n)
-            events = np.arange(len(which)) + np.repeat(at[live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            x, y, g = inputs[events], right[events], gates[events] + which * GATES
-            z = np.einsum("ij,ij->i", x, weights[g])
+        for a, b in zip(byte_at, byte_at[1:]):
+            bits = slice(bit_at[a], bit_at[b])
+            g, n, starts = gates[a:b], length[a:b], bit_at[a:b] - bit_at[a]
+            x, y = [i[bits] for i in inputs], right[bits]
+            z = np.zeros(len(y), np.float32)
+            for k, i in enumerate(x):
+                z += i * np.repeat(weights[g, k], n)
             np.clip(z, -8, 8, out=z)
             p = 1 / (1 + np.exp(-z))
-            bucket = (2 * z + np.float32(half + 0.5)).astype(np.int32) + which * BUCKETS
-            q = np.float32(0.6) * p + np.float32(0.4) * (hits / tries).astype(np.float32)[bucket]
+            bucket = (2 * z + np.float32(half + 0.5)).astype(np.int64) + base[bits]
+            q = np.float32(0.6) * p + (0.4 * hits / tries).astype(np.float32)[bucket]
             np.clip(q, 1e-5, 1 - 1e-5, out=q)
-            total += np.bincount(which, weights=np.log10(np.where(y, q, 1 - q)), minlength=many)
+            heads = np.flatnonzero(np.diff(lane[a:b], prepend=-1))
+            total[lane[a:b][heads]] += np.add.reduceat(np.log(np.abs(1 - y - q)), starts[heads], dtype=np.float64) / LN10
             error = y - p
-            for k in range(len(ROWS)):
-                weights[:, k] += RATE * np.bincount(g, weights=error * x[:, k], minlength=len(weights))
+            for k, i in enumerate(x):
+                weights[:, k] += RATE * np.bincount(g, weights=np.add.reduceat(error * i, starts), minlength=len(weights))
             hits += np.bincount(bucket, weights=y, minlength=len(hits))
             tries += np.bincount(bucket, minlength=len(tries))
-            at[live] = upto
-            live = live[upto < bounds[live + 1]]
-        rare = np.where(cls == RARE, self.code.rare[codes], 0.0)
-        sums = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(rare), rare, 0.0))])
-        return total + sums[spans[:, 1]] - sums[spans[:, 0]]
+        return total + np.bincount(lane, weights=np.where(cls == RARE, code.rare[codes[scored]], 0.0), minlength=many)
 
 
 # --- the whole table
