@@ -29,10 +29,16 @@ def test_feature_jobs_stay_in_the_engine(spark, name, no_broadcast):
     text = plan(spark_entry.queries()[name](spark, FOLDER))
     for bad in ("Python", "Arrow", "CartesianProduct", "NestedLoop"):
         assert bad not in text, bad
-    # the only broadcast is the bounded list of heavy customers, and the only single row its total
+    # the only broadcast is the bounded list of heavy customers; the only single rows are its total and the date bounds
     heavy = 2 if name == "engineered_features" else 0
     assert text.count("BroadcastHashJoin") == heavy
-    assert ("SinglePartition" in text) == bool(heavy)
+    assert ("SinglePartition" in text) == (name != "credit_features")
+
+
+def test_days_after_the_last_anchor_are_left_at_the_scan(spark):
+    """The bound is a scalar subquery on the date, before anything is grouped."""
+    text = plan(spark_entry.queries()["transaction_features"](spark, FOLDER))
+    assert text.count("<= Subquery") >= 2 and ">= date_sub(add_months(" in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
