@@ -123,7 +123,7 @@ def rules() -> list[Rule]:
             ]
         out += [
             Rule(label, f"(?:{under})?(?:the )?{full}", keyword, NAME, 0.8),
-            Rule(label, f"(?:under|licen[cs]e) (?:the )?{short}(?: licen[cs]e)?", "licen", NAME, 0.6),
+            Rule(label, f"(?:under|licen[cs]e) (?:the )?{short}(?: licen[cs]e)?", short_key, NAME, 0.6),
         ]
     for label, name in PLAIN:
         out += [
