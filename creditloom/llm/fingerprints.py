@@ -8,6 +8,8 @@ is left. If that stops early the sketches were too small, and larger ones are ma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ ROUNDS = 60
 PER_BLOCK = 200_000
 #: What ends a paragraph.
 BREAKS = r"[\r\n]+"
+#: What ends a unit of finer sketches; besides, a word whose hash is a multiple of RUN does.
+SENTENCES = r"(?<=[.!?])[ \t]+|(?<=[。！？])|[\r\n]+"
+RUN = 16
+#: Cells are added up in parts of about this many entries; a list that grows is copied each time.
+PART = 64
+#: One digest in so many serves to estimate how much differs.
+SAMPLED = 16
 
 _CELL = "struct<at:int,n:int,k:bigint,c:bigint>"
 _LIST = "array<bigint>"
@@ -29,6 +38,14 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '{BREAKS}'), x -> x <> ''), x -> xxhash64(x)))"
 
 
+def fine(text: str) -> str:
+    """SQL for the distinct digests of a text's sentences and, within them, runs of words that end where a word's hash says
+    so: an edit changes only the units that it touches, in texts of a single line too."""
+    marked = f"array_join(transform(split(p, ' '), w -> if(pmod(xxhash64(w), {RUN}) = 0, concat(w, '\n'), w)), ' ')"
+    runs = f"transform(filter(split({marked}, '\n ?'), x -> x <> ''), x -> xxhash64(x))"
+    return f"array_distinct(flatten(transform(split({text}, '{SENTENCES}'), p -> {runs})))"
+
+
 def _check(d: str) -> str:
     return f"(xxhash64({d}, 'check') & 4294967295L)"
 
@@ -56,9 +73,16 @@ def _added(entries: str) -> str:
     )
 
 
+def _added_in_parts(entries: str, size: str) -> str:
+    """The same by ranges of cells."""
+    here = f"filter(q, x -> x.at * g div (3 * {size}) = j)"
+    parts = f"flatten(transform(sequence(0, g - 1), j -> {_added(here)}))"
+    return f"element_at(transform(array({entries}), q -> element_at(transform(array(1L + size(q) div {PART}), g -> {parts}), 1)), 1)"
+
+
 def sketch(digested: str, size: str) -> str:
     """SQL for the sketch of an array of distinct digests: its full cells in order."""
-    return _added(f"flatten(transform({digested}, d -> {_entries('d', '1', size)}))")
+    return _added_in_parts(f"flatten(transform({digested}, d -> {_entries('d', '1', size)}))", size)
 
 
 def written(cells: str, size: int = CELLS) -> str:
@@ -74,10 +98,10 @@ def difference(a: str, b: str, size: str) -> str:
     """SQL for the digests that only one of two sketches has: struct of two arrays, null where peeling stops early."""
     turned = f"transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'k', c.k, 'c', c.c))"
     pure = "(abs(c.n) = 1 and c.c = " + _check("c.k") + ")"
-    start = f"named_struct('left', {_added(f'concat({a}, {turned})')}, 'a', cast(array() as {_LIST}), 'b', cast(array() as {_LIST}), 'go', true)"
+    start = f"named_struct('left', {_added_in_parts(f'concat({a}, {turned})', size)}, 'a', cast(array() as {_LIST}), 'b', cast(array() as {_LIST}), 'go', true)"
     found = f"array_distinct(transform(filter(s.left, c -> {pure}), c -> named_struct('k', c.k, 'n', c.n)))"
     out = f"flatten(transform(f, x -> {_entries('x.k', '-x.n', size)}))"
-    taken = _added(f"concat(s.left, {out})").replace("(s, e)", "(t, e)").replace("s.now", "t.now").replace("s.out", "t.out").replace(", s -> if", ", t -> if")
+    taken = _added_in_parts(f"concat(s.left, {out})", size).replace("(s, e)", "(t, e)").replace("s.now", "t.now").replace("s.out", "t.out").replace(", s -> if", ", t -> if")
     step = (
         f"element_at(transform(array({found}), f -> if(size(f) = 0, named_struct('left', s.left, 'a', s.a, 'b', s.b, 'go', false), "
         f"named_struct('left', {taken}, "
@@ -93,9 +117,14 @@ def difference(a: str, b: str, size: str) -> str:
 def _differing(a: str, b: str) -> str:
     """SQL for the difference of two digest arrays through sketches of growing size; null only if all of them fail.
 
-    The first try has the fingerprint's size, the last 16 cells or more for each digest.
+    The first try has the fingerprint's size, or the size that fits the differences among one digest in ``SAMPLED``; the
+    last has 16 cells or more for each digest.
     """
-    sizes = f"transform(sequence(0, cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)), t -> cast({CELLS} * power(4, t) as int))"
+    few, others = (f"filter({x}, d -> pmod(d, {SAMPLED}) = 0)" for x in (a, b))
+    differ = f"({SAMPLED} * (size(array_except({few}, {others})) + size(array_except({others}, {few}))))"
+    least = f"cast(floor(log(4, greatest(1, {differ} / {2 * CELLS}))) as int)"
+    most = f"cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)"
+    sizes = f"transform(sequence(least({least}, {most}), cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)), t -> cast({CELLS} * power(4, t) as int))"
     one = difference("u.a", "u.b", "z")
     tried = f"element_at(transform(array(named_struct('a', {sketch(a, 'z')}, 'b', {sketch(b, 'z')})), u -> {one}), 1)"
     return f"aggregate({sizes}, cast(null as struct<a:{_LIST},b:{_LIST}>), (found, z) -> coalesce(found, {tried}))"
@@ -137,12 +166,13 @@ def followers(keys: DataFrame, purpose: str, per_block: int = PER_BLOCK) -> Data
     )
 
 
-def compare_edits(docs: DataFrame, purpose: str = "fingerprints") -> DataFrame:
+def compare_edits(docs: DataFrame, purpose: str = "fingerprints", units: Callable[[str], str] = digests) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): one row per row.
 
     The edited text has its last quarter of code points (rounded down) replaced by the first as many of the next
     document. Documents follow each other by doc_id, null first; those that share one by a hash of their texts. Repeated
-    rows count once in that order and have the same result. Null texts count as empty.
+    rows count once in that order and have the same result. Null texts count as empty. ``units`` gives the SQL for a
+    text's digests: of its lines, or finer ones.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -151,16 +181,16 @@ def compare_edits(docs: DataFrame, purpose: str = "fingerprints") -> DataFrame:
     order = stored(followers(keys, purpose), purpose).select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n", "next_id", "next_h")
     sent = (
         rows.join(order, rows.id.eqNullSafe(order.next_id) & (rows.h == order.next_h))
-        .select("to_id", "to_h", F.expr("substring(text, 1, n div 4)").alias("head"), F.expr(digests("text")).alias("next"))
+        .select("to_id", "to_h", F.expr("substring(text, 1, n div 4)").alias("head"), F.expr(units("text")).alias("next"))
         .groupBy("to_id", "to_h").agg(F.first("head").alias("head"), F.first("next").alias("next"))
     )
     both = rows.join(sent, rows.id.eqNullSafe(sent.to_id) & (rows.h == sent.to_h)).select(
         F.col("id").alias("doc_id"), F.length("text").alias("n"), "text", "head", "next"
     )
     edited = both.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "next", F.expr(digests("text")).alias("own"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "next", F.expr(units("text")).alias("own"),
         F.expr("concat(substring(text, 1, n - n div 4), head)").alias("new"),
-    ).select("doc_id", "n_chars", "next", "own", F.sha2("new", 256).alias("edited_sha256"), F.expr(digests("new")).alias("new"))
+    ).select("doc_id", "n_chars", "next", "own", F.sha2("new", 256).alias("edited_sha256"), F.expr(units("new")).alias("new"))
     drawn = edited.withColumn("a", F.expr(sketch("own", str(CELLS)))).withColumn("b", F.expr(sketch("new", str(CELLS))))
     compared = drawn.withColumn("d_edited", F.expr(_differing("own", "new"))).withColumn("d_next", F.expr(_differing("own", "next")))
     return compared.select(

@@ -41,7 +41,7 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.compare_edits(table(spark, folder, "documents"))
+    return fingerprints.compare_edits(table(spark, folder, "documents"), units=fingerprints.fine)
 
 
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
