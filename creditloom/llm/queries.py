@@ -24,8 +24,8 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of 50 words or more that several documents hold: in the one that keeps them and in those that do not."""
-    return suffix.repeats(table(spark, folder, "documents"))
+    """Passages of 50 words or more at several places: at the one that keeps them and at those that do not."""
+    return suffix.repeats(table(spark, folder, "documents"), within=True)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,15 +89,17 @@ def minimisers(words: Words, least: int = LEAST, seed: int = SEED) -> np.ndarray
 
 def _seeds(batches: Iterator[pa.RecordBatch], least: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        own, found = [], []
+        own, found, twice = [], [], []
         for doc, data in zip(batch.column("doc").to_pylist(), raw(batch, "text")):
             words = Words(data)
             if words.n >= least:
                 found.append(np.unique(minimisers(words, least, seed)))
+                runs, times = np.unique(words.runs(seed), return_counts=True)
+                twice.append(times[np.searchsorted(runs, found[-1])] > 1)
                 own.append(np.full(len(found[-1]), doc, np.int64))
         if found:
-            columns = [pa.array(np.concatenate(own)), pa.array(np.concatenate(found).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "seed"])
+            columns = [pa.array(np.concatenate(x)) for x in (own, [f.view(np.int64) for f in found], twice)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "seed", "twice"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], least: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -135,13 +137,18 @@ def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(columns, ["doc", "first_word", "n_words", "removed"])
 
 
-def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, purpose: str = "suffix") -> DataFrame:
+def repeats(
+    docs: DataFrame, least: int = LEAST, seed: int = SEED, purpose: str = "suffix", within: bool = False
+) -> DataFrame:
     """(doc_id, first_word, n_words, removed): passages of ``least`` words or more that other documents hold too.
 
     A window of ``least`` words counts as repeated if a document with another id holds the same words; ``removed`` tells
     whether one with a smaller id does. Windows of one kind that touch are one passage. So for every repeated word
     sequence one document, that with the smallest id, keeps it.
 
+    ``within`` counts repeats inside one document too: the first place in the document with the smallest id keeps the
+    window, with what overlaps it there; each other place, in that document or another, is removed.
+
     1. Suffixes are retained at minimiser positions only (about one in eighteen) and compared by their first ``seed``
        words: the grouping brings equal ones next to each other, and those that only one document has are dropped.
     2. Around the retained positions the suffixes are extended to the left and right, up to the windows of ``least``
@@ -167,8 +174,11 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, purpose: str
     )
 
     texts = rows.withColumnRenamed("id", "doc")
-    seeds = stored(texts.mapInArrow(partial(_seeds, least=least, seed=seed), "doc long, seed long"), purpose)
-    shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("seed")
+    seeds = stored(texts.mapInArrow(partial(_seeds, least=least, seed=seed), "doc long, seed long, twice boolean"), purpose)
+    shared = (
+        seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("twice").alias("twice"))
+        .where("a <> b or twice" if within else "a <> b").select("seed")
+    )
     own = units.where("id = unit").select(F.col("unit").alias("doc"))
     live = stored(
         seeds.join(shared, "seed").join(own, "doc").groupBy("doc").agg(F.collect_set("seed").alias("seeds")), purpose
@@ -181,13 +191,16 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, purpose: str
     windows = stored(found, purpose)
     discard(live)
     # stored, so that a common window's many places can be dealt to several tasks of the join
+    place = "place" if within else "0"
+    places = F.expr(f"struct(doc, {place} as place)")
     again = stored(
-        windows.groupBy("digest").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("holder <> last")
-        .select("digest", "holder"), purpose
+        windows.groupBy("digest").agg(F.min(places).alias("holder"), F.max(places).alias("last"))
+        .where(f"holder.doc <> last.doc or last.place - holder.place >= {least}").select("digest", "holder"), purpose
     )
+    removed = f"(doc > holder.doc or {place} - holder.place >= {least})"
     met = windows.join(again, "digest").groupBy("doc").agg(
-        F.collect_set(F.expr("if(doc > holder, place, null)")).alias("later"),
-        F.collect_set(F.expr("if(doc = holder, place, null)")).alias("first"),
+        F.collect_set(F.expr(f"if({removed}, place, null)")).alias("later"),
+        F.collect_set(F.expr(f"if({removed}, null, place)")).alias("first"),
     )
     passages = stored(
         met.mapInArrow(partial(_joined, least=least), "doc long, first_word long, n_words long, removed boolean"), purpose
@@ -226,14 +239,15 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(keep)
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST, purpose: str = "suffix") -> DataFrame:
-    """``docs`` with all its columns, without the passages that a document with a smaller id holds too.
+def deduplicated(docs: DataFrame, least: int = LEAST, purpose: str = "suffix", within: bool = False) -> DataFrame:
+    """``docs`` with all its columns, without the passages that a document with a smaller id holds too; with ``within``
+    also without those that stand earlier in the same document.
 
     ``n_chars``, where there is such a column, follows the text. Documents of which nothing is left go; documents without
     repeated passages stay as they are.
     """
     spans = (
-        repeats(docs, least, purpose=purpose).where("removed").groupBy(F.col("doc_id").alias("_id"))
+        repeats(docs, least, purpose=purpose, within=within).where("removed").groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
     )
     joined = docs.join(spans, docs.doc_id == spans["_id"], "left").drop("_id")
