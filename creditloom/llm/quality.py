@@ -162,9 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5)
     ]
     chosen = parts[0].union(parts[1]).withColumnRenamed("doc_id", "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "quality").collect()
-    rows = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text))}  # repeated ids count once
-    return train([r.text.encode() for r in rows.values()], [r.quality for r in rows.values()], shares)
+    rows = sorted(one_each(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))).collect(), key=lambda r: r.doc_id)
+    return train([r.text.encode() for r in rows], [r.quality for r in rows], shares)
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, quality): repeated ids count once, with the greatest of their texts."""
+    return rows.groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def _scored(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
