@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, mixing, packing, quality, simhash, suffix
+from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, mixing, packing, quality, simhash, suffix, superkmers
 from creditloom.llm.common import crc_of_id, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = superkmers.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_license_scan, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_byte_bpe,
-        op7_document_fingerprints, op8_html_extraction, op9_embedding_near_dedup, op10_quality_classifier, pipeline,
+        op7_document_fingerprints, op8_html_extraction, op9_embedding_near_dedup, op10_quality_classifier,
+        op13_substring_dedup, pipeline,
     )
 }
 
