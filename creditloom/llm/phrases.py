@@ -21,8 +21,8 @@ TOP = 2000  # phrases of a language in the report
 SHARES = (80, 100)  # a longer phrase with that share of the occurrences covers a candidate
 SHARDS = 10
 #: Bytes of text that are read together, and digests that are counted together.
-BLOCK = 4_000_000
-ENTRIES = 4_000_000
+BLOCK = 3_000_000
+ENTRIES = 2_000_000
 #: Long texts are cut between pieces into parts of about this many bytes.
 PART = 500_000
 
@@ -69,6 +69,18 @@ class Pieces(Words):
     def digests(self, k: int, at: np.ndarray) -> np.ndarray:
         return self.runs(k, at) ^ self.seed if len(at) else np.zeros(0, np.uint64)
 
+    def marked(self, at: np.ndarray) -> np.ndarray:
+        good = np.zeros(self.n, bool)
+        good[at] = True
+        return good
+
+    def chained(self, k: int, good: np.ndarray) -> np.ndarray:
+        """Places of phrases whose pairs all begin at good places."""
+        at = self.phrases(k)
+        for i in range(k - 1):
+            at = at[good[at + i]]
+        return at
+
     def spelled(self, k: int, at: np.ndarray) -> Iterator[bytes]:
         data = self.data
         return (data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + k - 1].tolist()))
@@ -97,7 +109,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mined(block: int, found: list[np.ndarray], bits: int, most: int) -> pa.Table:
-    """A block's distinct digests, with how often each occurs (``most`` stands for more too), by ranges of digests."""
+    """A block's distinct digests, with how often each occurs (``most`` stands for more, too), by ranges of digests."""
     digests, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     times = np.minimum(times, most).astype(np.uint32)
     ranges = (digests >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
@@ -124,17 +136,14 @@ def _long(key: tuple, rows: pa.Table, frequent: pa.Table, bits: int, most: int,
     pairs, found = _numbers(frequent.column("digests")), []
     for _, own in _by_language(rows) if len(pairs) else ():
         at = own.phrases(2)
-        good = np.zeros(own.n, bool)
-        good[at[np.isin(own.digests(2, at), pairs)]] = True
-        for k in range(3, longest + 1):
-            at = own.phrases(k)
-            at = at[np.all([good[at + i] for i in range(k - 1)], axis=0)]
-            found.append(own.digests(k, at))
+        good = own.marked(at[np.isin(own.digests(2, at), pairs)])
+        found += [own.digests(k, own.chained(k, good)) for k in range(3, longest + 1)]
     return _mined(key[0].as_py(), found, bits, most)
 
 
-def _frequent(rows: pa.Table, shards: int, least: int) -> pa.Table:
-    """Which digests of a range occur ``least`` times in some shard, as a list for each block that has any of them."""
+def _frequent(rows: pa.Table, shards: int, least: int, support: int) -> pa.Table:
+    """Which digests of a range occur ``least`` times in some shard and ``support`` times in all, as a list for each block
+    that has any of them."""
     blocks = rows.column("block").to_pylist()
     held = [np.frombuffer(x, np.uint64) for x in rows.column("digests").to_pylist()]
     times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint32)
@@ -145,6 +154,7 @@ def _frequent(rows: pa.Table, shards: int, least: int) -> pa.Table:
     for s in range(shards):
         here = shard == s
         frequent |= np.bincount(place[here], times[here], len(distinct)) >= least
+    frequent &= np.bincount(place, times, len(distinct)) >= support
     marks = np.split(frequent[place], np.cumsum(sizes)[:-1])
     kept = [(b, x[m].tobytes()) for b, x, m in zip(blocks, held, marks) if m.any()]
     return pa.table({"block": pa.array([k[0] for k in kept], pa.int64()), "digests": pa.array([k[1] for k in kept], pa.binary())})
@@ -157,8 +167,11 @@ def _counted(key: tuple, rows: pa.Table, candidates: pa.Table, longest: int) ->
     for name, own in _by_language(rows):
         counts = [Counter({b"": own.n})]
         for k in range(1, longest + 1):
-            at = own.phrases(k)
-            counts.append(Counter(own.spelled(k, at[np.isin(own.digests(k, at), wanted)])))
+            at = own.phrases(k) if k < 3 else own.chained(k, good)
+            at = at[np.isin(own.digests(k, at), wanted)]
+            counts.append(Counter(own.spelled(k, at)))
+            if k == 2:
+                good = own.marked(at)
         for k, found in enumerate(counts):
             lang += [name] * len(found)
             size += [k] * len(found)
@@ -179,10 +192,11 @@ def frequent_phrases(
 
     1. Texts are dealt in turn to blocks of about ``block`` bytes, blocks in turn to ``shards`` shards. A phrase that is
        frequent has ``support / shards`` occurrences (rounded up) in one shard at least.
-    2. Each shard is mined completely at that support. A block counts its words and pairs by digest and sends the digests
-       to ranges; a range adds up the blocks of each shard and tells every block which of its digests are frequent in
-       some shard. Then the same for longer phrases, of which only those are counted whose pairs all were frequent.
-    3. What any shard found is counted in all blocks by its words, and added up exactly.
+    2. Each shard is mined at that support. A block counts its words and pairs by digest and sends the digests to ranges;
+       a range adds up the blocks of each shard, unites what the shards found frequent, and tells every block which of
+       its digests are among it, unless all shards together stay below ``support``. Then the same for longer phrases, of
+       which only those are counted whose pairs all are left.
+    3. What is left is counted in all blocks by its words, and added up exactly.
 
     A block holds one entry for a phrase however often it occurs, so a common phrase costs a range one entry a block.
     Digests only choose candidates: two phrases that share one can make a candidate too many, never one too few. Null
@@ -204,14 +218,14 @@ def frequent_phrases(
     entry, back = "range long, block long, digests binary, times binary", "block long, digests binary"
 
     def union_of_shards(found: DataFrame) -> DataFrame:
-        merged = found.groupBy("range").applyInArrow(lambda t: _frequent(t, shards, least), back)
+        merged = found.groupBy("range").applyInArrow(lambda t: _frequent(t, shards, least, support), back)
         return stored(merged, purpose)
 
-    short = union_of_shards(dealt.groupBy("block").applyInArrow(lambda k, t: _short(k, t, bits, least), entry))
-    discard()
+    short = union_of_shards(dealt.groupBy("block").applyInArrow(lambda k, t: _short(k, t, bits, support), entry))
+    discard(rows)  # removes no table, but lets shuffle files of the finished step go
     both = dealt.groupBy("block").cogroup(short.groupBy("block"))
-    long = union_of_shards(both.applyInArrow(lambda k, a, b: _long(k, a, b, bits, least, longest), entry))
-    discard()
+    long = union_of_shards(both.applyInArrow(lambda k, a, b: _long(k, a, b, bits, support, longest), entry))
+    discard(rows)
     both = dealt.groupBy("block").cogroup(short.unionByName(long).groupBy("block"))
     kinds = "lang string, words int, phrase string, a long"
     counted = both.applyInArrow(lambda k, a, b: _counted(k, a, b, longest), kinds)
