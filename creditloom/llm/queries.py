@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, mixing, packing, phrases, quality, simhash, suffix, superkmers
+from creditloom.llm import bpe, covertree, extract, fingerprints, licenses, mixing, packing, phrases, quality, simhash, spelling, suffix, superkmers
 from creditloom.llm.common import crc_of_id, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +65,10 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = superkmers.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_license_scan, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_byte_bpe,
         op7_document_fingerprints, op8_html_extraction, op9_embedding_near_dedup, op10_quality_classifier,
-        op11_phrase_collocations, op13_substring_dedup, pipeline,
+        op11_phrase_collocations, op12_spelling_variants, op13_substring_dedup, pipeline,
     )
 }
 
