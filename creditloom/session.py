@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,10 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes the files of tables that ``stored`` has made and that nothing reads any more.
 
-    Shuffle files go when the driver's garbage is collected, so that is asked for too: else those of finished steps stay.
+    Shuffle files go when the driver's garbage is collected, in Python and then in the JVM, so that is asked for too: else
+    those of finished steps stay.
     """
+    gc.collect()
     for table in tables:
         path = getattr(table, "scratch_path", None)
         if path in _written:
