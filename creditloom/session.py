@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+#: Lets a query's shuffle files go as soon as it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Scratch paths written and not yet removed, oldest first.
 _written: list[str] = []
@@ -42,9 +43,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Writes the table to a scratch path and reads it back, so that several passes do not compute it again."""
+    """Writes the table to a scratch path and reads it back, so that several passes do not compute it again. What the write
+    has shuffled is removed when it is done, as later steps read the files."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    settings = df.sparkSession.conf
+    before = settings.get(SHUFFLE_CLEANUP, "false")
+    settings.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        settings.set(SHUFFLE_CLEANUP, before)
     _written.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch_path = path
@@ -54,10 +62,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes the files of tables that ``stored`` has made and that nothing reads any more.
 
-    Shuffle files go when the driver's garbage is collected, in Python and then in the JVM, so that is asked for too: else
-    those of finished steps stay.
+    Shuffle files go when the driver's garbage is collected, so that is asked for too: else those of finished steps stay.
     """
-    gc.collect()
     for table in tables:
         path = getattr(table, "scratch_path", None)
         if path in _written:
