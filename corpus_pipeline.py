@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import jaccard, packing, quality, suffix
-from creditloom.llm.common import stored, table
+from creditloom.llm import packing, quality, simhash, suffix
+from creditloom.llm.common import discard, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that
-    with the smallest id. Repeated rows stay once; rows without an id, which are in no component, all stay."""
-    found = jaccard.near_duplicates(docs, 5, 0.8, "pipeline-near")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """The document with the smallest id of each group whose fingerprints (three-word shingles) two bits or fewer link.
+
+    Rows that share both id and text are one document: one of them stays. Rows without an id, which are in no group, stay.
+    """
+    found = simhash.near_duplicates(docs, "pipeline-simhash").where("doc_id = component_id")
+    kept = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept, F.col("row.doc_id") == F.col("kept_id"))
+    single = rows.where("n = 1").select("row.*")
+    several = rows.where("n > 1").select("row.*").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is written as Parquet and read again."""
+    """All stages over ``documents``; the result of each is written as Parquet and read again, and removed once the next
+    stage's is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
