@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array over minimiser positions."""
+"""Repeated passages: windows of words around minimiser positions, grouped by digest and joined to passages."""
 
 from __future__ import annotations
 
@@ -149,11 +149,10 @@ def repeats(
     ``within`` counts repeats inside one document too: the first place in the document with the smallest id keeps the
     window, with what overlaps it there; each other place, in that document or another, is removed.
 
-    1. Suffixes are retained at minimiser positions only (about one in eighteen) and compared by their first ``seed``
-       words: the grouping brings equal ones next to each other, and those that only one document has are dropped.
-    2. Around the retained positions the suffixes are extended to the left and right, up to the windows of ``least``
-       words that hold the position, and compared again with their neighbours in the order of the windows' digests.
-       Every window is found by the minimiser in it, so no repeat is missed.
+    1. Seeds, the ``seed`` words at minimiser positions (about one in eighteen), are grouped by digest; those that stand
+       at one place only are dropped.
+    2. Of the windows of ``least`` words whose minimiser is left, equal ones are grouped by digest. Equal windows have the
+       same minimiser, so no repeat is missed.
     3. Neighbouring windows of a document are joined to maximal passages.
 
     Of identical texts only the smallest and the largest id are worked on; the other copies share the latter's result.
@@ -225,9 +224,9 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept).rstrip()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], own_spans: str) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        spans = batch.column("_spans").to_pylist()
+        spans = batch.column(own_spans).to_pylist()
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         new = [without(t, [(s["first_word"], s["n_words"]) for s in own]) if own and t else t for t, own in zip(texts, spans)]
         keep = pa.array([not own or bool(t) for t, own in zip(new, spans)], pa.bool_())
@@ -246,9 +245,10 @@ def deduplicated(docs: DataFrame, least: int = LEAST, purpose: str = "suffix", w
     ``n_chars``, where there is such a column, follows the text. Documents of which nothing is left go; documents without
     repeated passages stay as they are.
     """
+    own_id, own_spans = (n + "_" * max(map(len, docs.columns)) for n in ("id", "spans"))  # longer than any column's name
     spans = (
-        repeats(docs, least, purpose=purpose, within=within).where("removed").groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
+        repeats(docs, least, purpose=purpose, within=within).where("removed").groupBy(F.col("doc_id").alias(own_id))
+        .agg(F.collect_list(F.struct("first_word", "n_words")).alias(own_spans))
     )
-    joined = docs.join(spans, docs.doc_id == spans["_id"], "left").drop("_id")
-    return joined.mapInArrow(partial(_cut, names=docs.columns), docs.schema)
+    joined = docs.join(spans, docs.doc_id == spans[own_id], "left").drop(own_id)
+    return joined.mapInArrow(partial(_cut, names=docs.columns, own_spans=own_spans), docs.schema)

@@ -31,7 +31,8 @@ def odd_documents(spark):
     """18 texts, one of them in a repeated row, and columns whose names operators use themselves."""
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(ODD_TEXTS)]
     return spark.createDataFrame([*rows, rows[5]], DOCUMENTS).selectExpr(
-        "*", "'x' as fp", "1 as key", "'y' as component_id", "0 as piece", "0 as length", "'z' as digest", "1 as doc", "2 as id"
+        "*", "'x' as fp", "1 as key", "'y' as component_id", "0 as piece", "0 as length", "'z' as digest", "1 as doc", "2 as id", "3 as _id",
+            "4 as _spans", "5 as _kept", "6 as n", "7 as kept_id", "8 as row"
     )
 
 

@@ -5,7 +5,7 @@ from creditloom.llm.common import stored
 from test_packing import PATH
 from test_simhash import by_hand as print_of
 from test_simhash import grouped
-from test_suffix import by_hand as repeats_of
+from test_suffix_within import by_hand as repeats_of
 from creditloom.llm.suffix import without
 
 
@@ -44,7 +44,26 @@ def test_stages_and_rows_equal_plain_versions(spark):
 
 
 def test_odd_documents(spark, odd_documents, no_documents):
-    for docs in (odd_documents, no_documents):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), "test")
-        assert docs.count() >= 0
+    folder = "/root/testdata/sf0.001"
+    now = odd_documents
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, now = now, stored(stage(spark, now, folder), "test")
+        if i < 3:
+            assert now.columns == odd_documents.columns
+            left = [r.doc_id for r in now.collect()]
+            assert len(left) == len(set(left)) or i == 0
+            assert set(left) <= {r.doc_id for r in before.collect()}
+        else:
+            assert {r.doc_id for r in now.collect()} == {r.doc_id for r in before.collect()}
+    now = no_documents
+    for _, stage in corpus_pipeline.STAGES:
+        now = stored(stage(spark, now, folder), "test")
+        assert now.count() == 0
+
+
+def test_near_stage_keeps_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(3, text, "a"), (3, text, "b"), (5, text, "a"), (7, "other words entirely here", "a"), (None, text, "a"), (None, text, "a"), (8, None, "a"), (9, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(False, 3), (False, 7), (False, 8), (True, 0), (True, 0)]
