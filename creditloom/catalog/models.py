@@ -14,7 +14,7 @@ from creditloom.catalog.features import (
     engineered,
 )
 from creditloom.catalog.kit import Catalog, comparable
-from creditloom.modelling import metrics, models, split
+from creditloom.modelling import metrics, models, oversampling, split
 from creditloom.operators.assemble import ENGINEERED
 from creditloom.operators.profiling import value_counts
 from creditloom.plans import jobs, training
@@ -215,6 +215,62 @@ def _(spark, d):
     )
 
 
+# ---------------------------------------------------------------- over-sampling
+
+_SAMPLED = ["age", "monthly_gross_income", "loan_amount_requested"]
+_REAL = [f"cast({c} as double)" for c in _SAMPLED]
+_NEAR = f"""{_APPS}, bases as (
+ select loan_id as key, {", ".join(f"{r} as {c}" for c, r in zip(_SAMPLED, _REAL))} from applications where is_default = 1
+  and {" and ".join(f"{c} is not null" for c in _SAMPLED)}),
+ spread as (select {", ".join(f"coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}" for c in _SAMPLED)} from bases),
+ points as (select min(key) as point, {", ".join(_SAMPLED)} from bases group by {", ".join(_SAMPLED)}),
+ pairs as (
+ select a.point, b.point as other,
+  round(sqrt({" + ".join(f"(a.{c} / s_{c} - b.{c} / s_{c}) * (a.{c} / s_{c} - b.{c} / s_{c})" for c in _SAMPLED)}), 6) as distance
+ from points a join points b on a.point <> b.point, spread),
+ near as (
+ select * from (select *, row_number() over (partition by point order by distance, other) as place from pairs) p where place <= 5)"""
+
+
+def _hex(start: int) -> str:
+    """Eight hexadecimal digits as a number."""
+    return " + ".join(
+        f"(strpos('0123456789abcdef', substr(h, {start + i}, 1)) - 1) * {16 ** (7 - i)}::bigint" for i in range(8)
+    )
+
+
+@catalog.add(
+    "minority_neighbours", f"{_NEAR} select point as loan_id, cast(place as integer) as place, other, round(distance, 4) as distance from near"
+)
+def _(spark, d):
+    """The five nearest other defaulters of each, exact."""
+    apps = b.applications(spark, d)
+    return comparable(oversampling.minority_neighbours(apps, "is_default", "loan_id", _SAMPLED, rounds=None))
+
+
+@catalog.add(
+    "oversample",
+    f"""{_NEAR}, sizes as (
+     select greatest(0, cast(floor(0.8 * count(case when is_default <> 1 then 1 end)) as bigint)
+      - count(case when is_default = 1 then 1 end)) as lacking, (select count(*) from bases) as n from applications),
+     ordered as (select *, row_number() over (order by md5('42:' || cast(key as varchar)), key) - 1 as r from bases),
+     shares as (select o.*, lacking // n + cast(r < lacking % n as integer) as copies from ordered o, sizes),
+     draws as (select *, md5('42:' || cast(key as varchar) || ':' || cast(draw as varchar)) as h
+      from (select *, unnest(range(1, copies + 1)) as draw from shares) x),
+     numbers as (select *, {_hex(1)} as pick, ({_hex(9)}) / 4294967296.0::double as share from draws),
+     located as (select n.*, p.point from numbers n join points p on {" and ".join(f"n.{c} = p.{c}" for c in _SAMPLED)}),
+     chosen as (select l.*, e.other from located l join (select point, count(*) as held from near group by point) c
+      on c.point = l.point join near e on e.point = l.point and e.place = l.pick % c.held + 1)
+    select c.key as base, cast(draw as integer) as draw, c.other, round(share, 6) as share,
+    {", ".join(f"round(c.{x} + share * (e.{x} - c.{x}), 6) as {x}" for x in _SAMPLED)}
+    from chosen c join points e on e.point = c.other""",
+)
+def _(spark, d):
+    """New defaulters until there are 0.8 for each other application."""
+    apps = b.applications(spark, d)
+    return comparable(oversampling.synthetic_rows(apps, "is_default", "loan_id", _SAMPLED, ratio=0.8, rounds=None), 6)
+
+
 # ---------------------------------------------------------------- metrics on given scores
 
 _SCORED = b.common_tables("scored")

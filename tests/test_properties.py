@@ -52,16 +52,27 @@ def test_curve_points(spark, skewed_scores):
 def test_running_total(spark, rows_per_range):
     values = [(float(v), v % 3) for v in random.Random(1).sample(range(-500, 500), 300)]
     df = spark.createDataFrame(values, "x double, n long")
-    found = running.running_total(df, "x", ["n"], running.split_points(df, "x", rows_per_range)).collect()
+    found = running.running_total(df, "x", ["n"], rows_per_range=rows_per_range).collect()
     assert len(found) == 300
     for r in found:
         assert r.n_below == sum(n for x, n in values if x < r.x)
 
 
-def test_twice_the_rows_give_twice_the_ranges(spark):
-    df = spark.range(4000).selectExpr("cast(id as double) as x")
-    ranges = [len(running.split_points(part, "x", 100)) + 1 for part in (df.limit(2000), df)]
-    assert ranges[0] == pytest.approx(20, abs=1) and ranges[1] == pytest.approx(2 * ranges[0], abs=2)
+def test_plan_does_not_grow_with_the_ranges(spark):
+    df = spark.range(4000).selectExpr("cast(id as double) as x", "id % 7 as n")
+    found = [running.running_total(df, "x", ["n"], rows_per_range=size) for size in (2000, 10)]
+    ranges = [running._ranged(df, ["x"], None, size).select(running.RANGE).distinct().count() for size in (2000, 10)]
+    assert ranges[0] == 2 and ranges[1] > 300
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in found]
+    assert len(plans[1]) == pytest.approx(len(plans[0]), abs=40)
+
+
+def test_places_do_not_depend_on_the_partitioning(spark):
+    df = spark.range(900).selectExpr("id as key", "pmod(xxhash64(id), 50) as x")
+    want = {r.key: i for i, r in enumerate(df.orderBy("x", "key").collect())}
+    for parts, size in ((1, 1000), (7, 100), (3, 9)):
+        found = running.placed(df.repartition(parts), ["x", "key"], rows_per_range=size).collect()
+        assert {r.key: r.place for r in found} == want
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 1001])
