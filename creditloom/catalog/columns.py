@@ -500,6 +500,25 @@ def _(spark, d):
     return en.fit_one_hot(apps, ["loan_purpose", "residential_status"], new_first=True).transform(apps)
 
 
+@catalog.add(
+    "one_hot_sparse",
+    f"""{APPS}, purposes as (select loan_purpose, row_number() over (order by loan_purpose) - 2 as slot
+      from (select distinct loan_purpose from applications) p),
+    codes as (select pincode, row_number() over (order by pincode) - 2 as slot from (select distinct pincode from applications) p),
+    sizes as (select (select max(slot) + 1 from purposes) as first, (select max(slot) + 1 from codes) as second),
+    slots as (select a.loan_id, first + second as places,
+      [x for x in [case when p.slot >= 0 then p.slot end, case when c.slot >= 0 then first + c.slot end] if x is not null] as spots
+      from applications a join purposes p on p.loan_purpose = a.loan_purpose join codes c on c.pincode = a.pincode, sizes)
+    select loan_id, '(' || places || ',[' || array_to_string(spots, ',') || '],[' || array_to_string(['1.0' for x in spots], ',') || '])'
+      as categories from slots""",
+)
+def _(spark, d):
+    """Postcodes, of which nearly every application has its own, beside loan purposes in one sparse vector."""
+    apps = b.applications(spark, d).select("loan_id", "loan_purpose", "pincode")
+    encoder = en.fit_sparse_one_hot(apps, ["loan_purpose", "pincode"], drop_first=True, null_category=False)
+    return encoder.transform(apps, "loan_id").select("loan_id", F.col("categories").cast("string").alias("categories"))
+
+
 @catalog.add(
     "one_hot_drop_first",
     f"""{APPS} select loan_id, {", ".join(f"loan_purpose = '{v}' as loan_purpose_{v}" for v in _SEGMENTS[1:])},

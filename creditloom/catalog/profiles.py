@@ -10,8 +10,10 @@ from creditloom.catalog.kit import Catalog, comparable
 from creditloom.operators import assemble as asm
 from creditloom.operators import credit as cr
 from creditloom.operators import profiling as pf
+from creditloom.operators import sketches as sk
 from creditloom.operators import transactions as tx
 from creditloom.operators.selection import n_unique
+from creditloom.session import stored
 
 catalog = Catalog()
 
@@ -104,6 +106,42 @@ def _(spark, d):
     return comparable(pf.describe(b.table(spark, d, "part")))
 
 
+_SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@catalog.add(
+    "merged_sketches",
+    _stacked({c: [f"count({c})", "true", "true", "true", "true"] for c in _SKETCHED}, "lineitem",
+             ["n", "p25_holds", "p50_holds", "p75_holds", "distinct_holds"]),
+)
+def _(spark, d):
+    """Sketches per ship date, stored and merged: whether each quartile's rank and each distinct count is within the
+    stated error, beside the exact number of values that the merged sketch counts."""
+    lines = b.table(spark, d, "lineitem")
+    daily = stored(sk.sketch_table(lines, _SKETCHED, by=["l_shipdate"]), "sketches")
+    found = stored(sk.estimates(sk.merged(daily)), "estimates")
+    got = {r.column_name: r for r in found.collect()}  # a row per column
+    exact = lines.agg(
+        *[F.count_distinct(c).alias(f"distinct_{c}") for c in _SKETCHED],
+        *[F.count_if(F.col(c) < getattr(got[c], p)).alias(f"{p}_less_{c}") for c in _SKETCHED for p in ("p25", "p50", "p75")],
+        *[F.count_if(F.col(c) <= getattr(got[c], p)).alias(f"{p}_upto_{c}") for c in _SKETCHED for p in ("p25", "p50", "p75")],
+    )
+
+    def holds(c, p):
+        slack = sk.RANK_ERROR * got[c].n
+        share = int(p[1:]) / 100 * got[c].n
+        return (F.col(f"{p}_less_{c}") <= share + slack) & (F.col(f"{p}_upto_{c}") >= share - slack)
+
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(got[c].n).cast("long").alias("n"), *[holds(c, p).alias(f"{p}_holds") for p in ("p25", "p50", "p75")],
+            (F.abs(F.lit(got[c].distinct) / F.col(f"distinct_{c}") - 1) <= 3 * sk.DISTINCT_ERROR).alias("distinct_holds"),
+        )
+        for c in _SKETCHED
+    ]
+    return exact.select(F.inline(F.array(*rows)))
+
+
 _FEATURES = ["credit_score", "avg_account_age_months", "max_dpd_past_24m", "is_default"]
 
 

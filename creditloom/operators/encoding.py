@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.profiling import mode
 from creditloom.operators.quantiles import medians
+from creditloom.operators.running import placed
+from creditloom.operators.skew import spread_join
+from creditloom.session import stored
 
 
 def quoted(column: str) -> str:
@@ -128,7 +132,8 @@ def fit_one_hot(
     new_first: bool = False,
     most: int = 5000,
 ) -> OneHot:
-    """Sorted categories per column. Each becomes a column of the result, so more than ``most`` in all is an error.
+    """Sorted categories per column. Each becomes a column of the result, so more than ``most`` in all is an error;
+    ``fit_sparse_one_hot`` has no such limit.
 
     ``null_category`` gives nulls a column of their own if there are any. ``drop_first`` leaves out the smallest
     category, and nulls then are zeros throughout.
@@ -145,6 +150,71 @@ def fit_one_hot(
     return OneHot(drops=tuple(columns), new_first=new_first, categories=categories, as_boolean=as_boolean)
 
 
+@dataclass
+class SparseOneHot:
+    """Categories as places of one sparse vector, for more of them than a table can have columns.
+
+    ``dictionary`` has a row (column_no, value, slot) per category, slots from 0 on in each column: sorted, null last.
+    """
+
+    columns: list[str]
+    dictionary: DataFrame
+    sizes: list[int]
+
+    def names(self) -> DataFrame:
+        """(slot, name): what stands at each place of the vector, named as ``OneHot`` names its columns."""
+        starts = [sum(self.sizes[:i]) for i in range(len(self.sizes))]
+        start, column = (F.array(*[F.lit(v) for v in values]) for values in (starts, self.columns))
+        at = F.col("column_no")
+        return self.dictionary.select(
+            (start[at] + F.col("slot")).alias("slot"), F.concat(column[at], F.lit("_"), F.coalesce("value", F.lit("nan"))).alias("name")
+        )
+
+    def transform(self, df: DataFrame, key: str, output: str = "categories") -> DataFrame:
+        """``df`` with the vector. A value not seen in fitting, or without a place, gives zeros throughout. Rows meet the
+        dictionary by value; a value that very many rows share is spread over tasks by ``key``."""
+        text, place = [], []
+        for i, c in enumerate(self.columns):
+            text.append(f"_text{i}")
+            place.append(f"_place{i}")
+            df = df.withColumn(text[i], F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")))
+        for i, size in enumerate(self.sizes):
+            own = self.dictionary.where(F.col("column_no") == i).select(
+                F.coalesce(F.concat(F.lit("="), "value"), F.lit("")).alias(text[i]), F.col("slot").cast("double").alias(place[i])
+            )
+            df = spread_join(df, own, text[i], key, "left").fillna(float(size), [place[i]]).drop(text[i])
+        used = [i for i, size in enumerate(self.sizes) if size]
+        if not used:
+            raise ValueError("no category in any column")
+        vector = [f"_vector{i}" for i in used]
+        last = df.sparkSession.createDataFrame([tuple(float(self.sizes[i] - 1) for i in used)], [place[i] for i in used])
+        # one place beyond the last stands for values without a place, and is dropped
+        encoder = OneHotEncoder(inputCols=last.columns, outputCols=vector, handleInvalid="keep", dropLast=True).fit(last)
+        joined = VectorAssembler(inputCols=vector, outputCol=output).transform(encoder.transform(df))
+        return joined.drop(*place, *vector)
+
+
+def fit_sparse_one_hot(
+    df: DataFrame, columns: list[str], drop_first: bool = False, null_category: bool = True
+) -> SparseOneHot:
+    """The categories of each column as a stored table; only their number per column comes to the driver. Options as for
+    ``fit_one_hot``, without a limit on categories."""
+    pairs = [
+        F.struct(F.lit(i).alias("column_no"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)
+    ]
+    found = df.select(F.inline(F.array(*pairs))).distinct().withColumn("is_null", F.col("value").isNull())
+    if not null_category:
+        found = found.where("not is_null")
+    ordered = stored(placed(stored(found, "categories"), ["column_no", "is_null", "value"]), "dictionary")
+    first = {r.column_no: (r.start, r.n, r.nulls) for r in ordered.groupBy("column_no").agg(
+        F.min("place").alias("start"), F.count("*").alias("n"), F.count_if("is_null").alias("nulls")).collect()}
+    out = [int(drop_first and c in first and first[c][1] > first[c][2]) for c in range(len(columns))]
+    starts = F.array(*[F.lit(first.get(i, (0, 0, 0))[0] + out[i]) for i in range(len(columns))])
+    slots = ordered.withColumn("slot", F.col("place") - starts[F.col("column_no")]).where("slot >= 0")
+    sizes = [first.get(i, (0, 0, 0))[1] - out[i] for i in range(len(columns))]
+    return SparseOneHot(list(columns), slots.select("column_no", "value", "slot"), sizes)
+
+
 @dataclass
 class Standardize(Step):
     """(x - mean) / population deviation; a constant column is only centred."""

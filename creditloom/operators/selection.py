@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,9 +49,15 @@ def n_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Each value goes to the task of its (column, value) pair, so no task holds all values of a column.
     """
     names = list(columns or df.columns)
-    wide = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)])
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("n_unique")) for i, c in enumerate(names)]
-    return wide.select(F.inline(F.array(*pairs)))
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, T.FractionalType)}
+
+    def text(c: str) -> Column:
+        return (F.col(f"`{c}`") + 0.0 if c in floats else F.col(f"`{c}`")).cast("string")  # -0.0 is 0.0
+
+    pairs = [F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in names]
+    values = df.select(F.inline(F.array(*pairs))).distinct()
+    every = df.sparkSession.createDataFrame([(c, None) for c in names], "column_name string, value string")
+    return values.unionByName(every).groupBy("column_name").agg(F.count("value").alias("n_unique"))
 
 
 def scalable_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:

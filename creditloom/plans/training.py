@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.dates import parse_date
 from creditloom.modelling import metrics, models
-from creditloom.modelling.search import SearchSpace, random_search
+from creditloom.modelling.search import Search, SearchSpace, random_search
 from creditloom.modelling.split import stratified_split
 from creditloom.operators import encoding as en
 from creditloom.operators.assemble import ENGINEERED
@@ -194,13 +193,14 @@ def train_evaluate_save(view: DataFrame, path: str, save: str = "boosted", **set
 
 def tune_evaluate_save(
     view: DataFrame, path: str, space: SearchSpace = SearchSpace(), draws: int = 100, folds: int = 5, seed: int = 42,
-    fit_on: str = "train",
-) -> tuple[Trained, CrossValidatorModel]:
+    fit_on: str = "train", ledger: str | None = None,
+) -> tuple[Trained, Search]:
     """Searches boosted trees on the training rows, scores the test rows with the best draw, and saves it together with
-    its preparation as one pipeline (``Trained`` holds it under "tuned")."""
+    its preparation as one pipeline (``Trained`` holds it under "tuned"). With a ``ledger`` a lost search goes on where
+    it stopped."""
     preparation, train, _, test = prepared_split(view, seed, fit_on)
     weighted = metrics.with_class_weight(train, LABEL, "positive_ratio")
-    found = random_search(weighted, LABEL, KEY, space, draws, folds, seed)
+    found = random_search(weighted, LABEL, KEY, space, draws, folds, seed, ledger=ledger)
     pipeline = PipelineModel([*preparation.stages(), found.bestModel])
     models.save_model(pipeline, path)
     scored = stored(models.score(pipeline, test, KEY, LABEL), "scored-tuned")

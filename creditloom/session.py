@@ -71,6 +71,12 @@ def discard(*tables: DataFrame) -> None:
         table.sparkSession.sparkContext._jvm.System.gc()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, through Spark's file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes every scratch table of this process. Results that still read them must have been taken before."""
     for path in list(_written):

@@ -106,6 +106,38 @@ def test_random_search(spark, view):
     assert rows[0].mean_roc_auc == max(found.avgMetrics) > 0.5
 
 
+def test_lost_search_goes_on_where_it_stopped(spark, view, tmp_path, monkeypatch):
+    """Lost between two fits and started again: no fit is repeated, and the outcome is that of a search in one go."""
+    from creditloom.modelling import search
+
+    _, train, _, _ = training.prepared_split(view)
+    weighted = metrics.with_class_weight(train, "is_default", "positive_ratio")
+    settings = {"space": SearchSpace(rounds=(2, 4), depth=(2, 3)), "draws": 2, "folds": 2, "parallelism": 1}
+    made, real = [], search.boosted
+
+    def counting(*args, **params):
+        if len(made) == 3 and lost:
+            raise RuntimeError("lost")
+        made.append(params["stepSize"])
+        return real(*args, **params)
+
+    monkeypatch.setattr(search, "boosted", counting)
+    ledger, lost = str(tmp_path / "ledger"), True
+    assert search.fits(spark, ledger).isEmpty()
+    with pytest.raises(RuntimeError, match="lost"):
+        search.random_search(weighted, "is_default", "loan_id", ledger=ledger, **settings)
+    assert search.fits(spark, ledger).count() == 3
+    (tmp_path / "ledger" / "search=half" / "_temporary").mkdir(parents=True)  # a write that did not end
+    lost = False
+    again = search.random_search(weighted, "is_default", "loan_id", ledger=ledger, **settings)
+    assert len(made) == 3 + 1 + 1  # the fourth fit and the best draw on all rows
+    assert search.fits(spark, ledger).count() == 4
+    whole = search.random_search(weighted, "is_default", "loan_id", **settings)
+    assert again.avgMetrics == pytest.approx(whole.avgMetrics) and len(made) == 10
+    other = search.random_search(weighted, "is_default", "loan_id", ledger=ledger, **settings | {"seed": 7})
+    assert len(made) == 15 and search.fits(spark, ledger).count() == 8 and other.ledger == ledger
+
+
 def test_tuned_pipeline_scores_raw_rows_alike(view, tmp_path):
     path = str(tmp_path / "tuned")
     space = SearchSpace(rounds=(2, 4), depth=(2, 3))
