@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.common import ranked_blocks, stored
 
-#: Cells of each subtable in the stored fingerprint; every retry has four times as many.
+#: Cells of each subtable in the stored fingerprint.
 CELLS = 8
+#: Tries after the first, each with four times as many cells.
+RETRIES = 3
 ROUNDS = 60
 PER_BLOCK = 200_000
 #: What ends a paragraph.
@@ -25,9 +27,7 @@ BREAKS = r"[\r\n]+"
 SENTENCES = r"(?<=[.!?])[ \t]+|(?<=[。！？])|[\r\n]+"
 RUN = 16
 #: Cells are added up in parts of about this many entries; a list that grows is copied each time.
-PART = 64
-#: One digest in so many serves to estimate how much differs.
-SAMPLED = 16
+PART = 512
 
 _CELL = "struct<at:int,n:int,k:bigint,c:bigint>"
 _LIST = "array<bigint>"
@@ -85,29 +85,42 @@ def sketch(digested: str, size: str) -> str:
     return _added_in_parts(f"flatten(transform({digested}, d -> {_entries('d', '1', size)}))", size)
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body``, in which ``name`` stands for the value; computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def written(cells: str, size: int = CELLS) -> str:
-    """SQL for a sketch as text: 14 bytes for each cell (count, digests, checks), in base 64."""
-    dense = (
-        f"transform(sequence(0, {3 * size - 1}), i -> coalesce(element_at(map_from_arrays({cells}.at, "
-        f"transform({cells}, c -> concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0')))), i), repeat('0', 28)))"
-    )
-    return f"base64(unhex(array_join({dense}, '')))"
+    """SQL for a sketch as text: 16 bytes for each cell (count, digests, checks), in base 64."""
+    shown = "concat(lpad(hex(c.n), 8, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0'))"
+    full = f"map_from_arrays({cells}.at, transform({cells}, c -> {shown}))"
+    dense = f"transform(sequence(0, {3 * size - 1}), i -> coalesce(element_at(m, i), repeat('0', 32)))"
+    return f"base64(unhex(array_join({_let(full, 'm', dense)}, '')))"
 
 
 def difference(a: str, b: str, size: str) -> str:
-    """SQL for the digests that only one of two sketches has: struct of two arrays, null where peeling stops early."""
+    """SQL for the digests that only one of two sketches has: struct of two arrays, null where peeling stops early.
+
+    A round reads the digests off all cells that are left with one. Those cells are done with; in the others the digests
+    are taken out, and what comes out empty there goes too.
+    """
     turned = f"transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'k', c.k, 'c', c.c))"
-    pure = "(abs(c.n) = 1 and c.c = " + _check("c.k") + ")"
+    pure = f"(abs(c.n) = 1 and c.c = {_check('c.k')})"
     start = f"named_struct('left', {_added_in_parts(f'concat({a}, {turned})', size)}, 'a', cast(array() as {_LIST}), 'b', cast(array() as {_LIST}), 'go', true)"
-    found = f"array_distinct(transform(filter(s.left, c -> {pure}), c -> named_struct('k', c.k, 'n', c.n)))"
-    out = f"flatten(transform(f, x -> {_entries('x.k', '-x.n', size)}))"
-    taken = _added_in_parts(f"concat(s.left, {out})", size).replace("(s, e)", "(t, e)").replace("s.now", "t.now").replace("s.out", "t.out").replace(", s -> if", ", t -> if")
-    step = (
-        f"element_at(transform(array({found}), f -> if(size(f) = 0, named_struct('left', s.left, 'a', s.a, 'b', s.b, 'go', false), "
-        f"named_struct('left', {taken}, "
-        "'a', concat(s.a, transform(filter(f, x -> x.n = 1), x -> x.k)), 'b', concat(s.b, transform(filter(f, x -> x.n = -1), x -> x.k)), "
-        "'go', true))), 1)"
+    sides = ", ".join(
+        f"'{side}', array_distinct(transform(filter(p.pure, c -> c.n = {n}), c -> c.k))" for side, n in (("a", 1), ("b", -1))
     )
+    rest = "filter(s.left, c -> not " + pure + ")"
+    parted = f"named_struct('pure', filter(s.left, c -> {pure}), 'rest', {rest})"
+    found = _let(parted, "p", f"named_struct({sides}, 'rest', p.rest, 'ats', p.rest.at)")
+    out = f"concat(flatten(transform(f.a, x -> {_entries('x', '-1', size)})), flatten(transform(f.b, x -> {_entries('x', '1', size)})))"
+    entries = f"concat(f.rest, filter({out}, e -> array_contains(f.ats, e.at)))"
+    taken = _added_in_parts(entries, size).replace("(s, e)", "(t, e)").replace("s.now", "t.now").replace("s.out", "t.out").replace(", s -> if", ", t -> if")
+    step = _let(
+        found, "f",
+        "if(size(f.a) + size(f.b) = 0, named_struct('left', s.left, 'a', s.a, 'b', s.b, 'go', false), "
+        f"named_struct('left', {taken}, 'a', concat(s.a, f.a), 'b', concat(s.b, f.b), 'go', true))",
+    )
     return (
         f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if(not s.go or size(s.left) = 0, s, {step}), "
         "s -> if(size(s.left) = 0, named_struct('a', s.a, 'b', s.b), null))"
@@ -115,18 +128,16 @@ def difference(a: str, b: str, size: str) -> str:
 
 
 def _differing(a: str, b: str) -> str:
-    """SQL for the difference of two digest arrays through sketches of growing size; null only if all of them fail.
+    """SQL for the difference of two digest arrays through sketches; null only if all retries fail.
 
-    The first try has the fingerprint's size, or the size that fits the differences among one digest in ``SAMPLED``; the
-    last has 16 cells or more for each digest.
+    How many digests a sketch holds is the sum of its counts, so both sides know it: the first try has four cells in
+    each subtable for every digest of both, every retry four times as many. Only full cells are held, so that a wide sketch
+    costs no more than a narrow one, and peeling ends in a few rounds.
     """
-    few, others = (f"filter({x}, d -> pmod(d, {SAMPLED}) = 0)" for x in (a, b))
-    differ = f"({SAMPLED} * (size(array_except({few}, {others})) + size(array_except({others}, {few}))))"
-    least = f"cast(floor(log(4, greatest(1, {differ} / {2 * CELLS}))) as int)"
-    most = f"cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)"
-    sizes = f"transform(sequence(least({least}, {most}), cast(ceil(log(4, 2 + size({a}) + size({b}))) as int)), t -> cast({CELLS} * power(4, t) as int))"
+    first = f"(4 * (size({a}) + size({b})) + {CELLS})"
     one = difference("u.a", "u.b", "z")
     tried = f"element_at(transform(array(named_struct('a', {sketch(a, 'z')}, 'b', {sketch(b, 'z')})), u -> {one}), 1)"
+    sizes = f"transform(sequence(0, {RETRIES}), t -> cast({first} * power(4, t) as int))"
     return f"aggregate({sizes}, cast(null as struct<a:{_LIST},b:{_LIST}>), (found, z) -> coalesce(found, {tried}))"
 
 
