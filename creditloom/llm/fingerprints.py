@@ -27,7 +27,7 @@ BREAKS = r"[\r\n]+"
 SENTENCES = r"(?<=[.!?])[ \t]+|(?<=[。！？])|[\r\n]+"
 RUN = 16
 #: Cells are added up in parts of about this many entries; a list that grows is copied each time.
-PART = 512
+PART = 128
 
 _CELL = "struct<at:int,n:int,k:bigint,c:bigint>"
 _LIST = "array<bigint>"
