@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import ranked_blocks, stored
+from creditloom.llm.common import discard, ranked_blocks, stored
 
 #: Cells of each subtable in the stored fingerprint.
 CELLS = 8
@@ -21,6 +21,10 @@ CELLS = 8
 RETRIES = 3
 ROUNDS = 60
 PER_BLOCK = 200_000
+#: Digests whose cells a task adds up.
+PER_TASK = 100_000
+#: Cells in each subtable of a sketch for every digest of both sides. Only full cells are held, so width costs nothing.
+WIDE = 32
 #: What ends a paragraph.
 BREAKS = r"[\r\n]+"
 #: What ends a unit of finer sketches; besides, a word whose hash is a multiple of RUN does.
@@ -99,14 +103,19 @@ def written(cells: str, size: int = CELLS) -> str:
 
 
 def difference(a: str, b: str, size: str) -> str:
-    """SQL for the digests that only one of two sketches has: struct of two arrays, null where peeling stops early.
+    """SQL for the digests that only one of two sketches has: struct of two arrays, null where peeling stops early."""
+    turned = f"transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'k', c.k, 'c', c.c))"
+    return peeled(_added_in_parts(f"concat({a}, {turned})", size), size)
+
+
+def peeled(cells: str, size: str) -> str:
+    """SQL for the digests in the cells of a subtracted sketch, by the side that has them; null where peeling stops early.
 
     A round reads the digests off all cells that are left with one. Those cells are done with; in the others the digests
     are taken out, and what comes out empty there goes too.
     """
-    turned = f"transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'k', c.k, 'c', c.c))"
     pure = f"(abs(c.n) = 1 and c.c = {_check('c.k')})"
-    start = f"named_struct('left', {_added_in_parts(f'concat({a}, {turned})', size)}, 'a', cast(array() as {_LIST}), 'b', cast(array() as {_LIST}), 'go', true)"
+    start = f"named_struct('left', {cells}, 'a', cast(array() as {_LIST}), 'b', cast(array() as {_LIST}), 'go', true)"
     sides = ", ".join(
         f"'{side}', array_distinct(transform(filter(p.pure, c -> c.n = {n}), c -> c.k))" for side, n in (("a", 1), ("b", -1))
     )
@@ -141,18 +150,6 @@ def _differing(a: str, b: str) -> str:
     return f"aggregate({sizes}, cast(null as struct<a:{_LIST},b:{_LIST}>), (found, z) -> coalesce(found, {tried}))"
 
 
-def likeness(a: str, b: str, differing: str) -> str:
-    """Shared paragraphs among all of both, from the recovered differences; 1 where both have none.
-
-    Where every sketch failed (for which several digests would have to fall into the same three cells), the arrays
-    themselves are compared.
-    """
-    only_a = f"coalesce(size({differing}.a), size(array_except({a}, {b})))"
-    only_b = f"coalesce(size({differing}.b), size(array_except({b}, {a})))"
-    union = f"(size({a}) + {only_b})"
-    return f"if({union} = 0, 1D, (size({a}) - {only_a}) / cast({union} as double))"
-
-
 def followers(keys: DataFrame, purpose: str, per_block: int = PER_BLOCK) -> DataFrame:
     """Adds next_id and next_h, the row that follows in order of (id, h); the first follows the last.
 
@@ -177,34 +174,157 @@ def followers(keys: DataFrame, purpose: str, per_block: int = PER_BLOCK) -> Data
     )
 
 
+def _cells(sketched: DataFrame) -> DataFrame:
+    """(id, h, z, at, n, k, c, n2, k2, c2): the cells of the sketches of each row's own, new and next digests.
+
+    From 0 on, ``at`` numbers the cells of own minus new and (n2, k2, c2) own minus next, with z cells a subtable. Below
+    stand the cells -1, -2, ... of the two short sketches, of own and (n2, k2, c2) new. Entries are added up by Spark where the
+    row's digests are; only cells are held, not entries.
+    """
+    sides = "array(named_struct('side', 0, 'ds', own), named_struct('side', 1, 'ds', new), named_struct('side', 2, 'ds', next))"
+    each = sketched.select("id", "h", "z", F.expr(f"inline({sides})")).select("id", "h", "z", "side", F.explode("ds").alias("d"))
+    told = each.withColumn("c", F.expr(_check("d"))).withColumn("j", F.expr("explode(if(side < 2, array(0, 1, 2, 3, 4, 5), array(0, 1, 2)))"))
+    wide = "cast(j * z + pmod(xxhash64(d, z, j), z) as int)"
+    short = f"cast(-1 - ((j - 3) * {CELLS} + pmod(xxhash64(d, {CELLS}, j - 3), {CELLS})) as int)"
+    entries = told.select(
+        "id", "h", "z", F.expr(f"if(j < 3, {wide}, {short})").alias("at"), "d", "c",
+        F.expr("case when side = 0 then 1 when side = 1 and j < 3 then -1 else 0 end").alias("s"),
+        F.expr("case when j < 3 then case side when 0 then 1 when 2 then -1 else 0 end when side = 1 then 1 else 0 end").alias("s2"),
+    )
+
+    def added(sign: str, suffix: str) -> list:
+        return [F.sum(sign).alias("n" + suffix), *(F.expr(f"bit_xor(if({sign} = 0, 0L, {x}))").alias(y + suffix) for x, y in (("d", "k"), ("c", "c")))]
+
+    return entries.groupBy("id", "h", "z", "at").agg(*added("s", ""), *added("s2", "2"))
+
+
+def _recovered(cells: DataFrame) -> DataFrame:
+    """(id, h, fingerprint, edited_fingerprint, edited, next): per row the two short sketches as text, and the numbers of
+    digests that only own (a) and only the other side (b) has; null where peeling stops early.
+
+    Cells with one digest give it away. A digest met in all of its three cells is done with. The others are taken out of
+    the cells that hold several, and those few cells are peeled within the row.
+    """
+    kinds = (
+        "array(named_struct('kind', if(at < 0, 2, 0), 'n', n, 'k', k, 'c', c), named_struct('kind', if(at < 0, 3, 1), 'n', n2, 'k', k2, 'c', c2))"
+    )
+    full = cells.select("id", "h", "z", "at", F.expr(f"inline({kinds})")).where("n <> 0 or k <> 0 or c <> 0")
+    pure = F.expr(f"kind < 2 and abs(n) = 1 and c = {_check('k')}")
+    read = full.withColumn("pure", pure).withColumn("x", F.expr("if(pure, k, cast(at as bigint))"))
+    once = read.groupBy("id", "h", "z", "kind", "pure", "x", "n").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.max("c").alias("c"))
+    cell = "named_struct('at', cast(x as int), 'n', cast(n as int), 'k', k, 'c', c)"
+    counts = [
+        F.count_if(F.expr(f"kind = {kind} and pure and n = {sign}")).cast("int").alias(f"{side}{kind}")
+        for kind in (0, 1) for side, sign in (("a", 1), ("b", -1))
+    ]
+    mixed = [F.expr(f"collect_list(if(kind = {kind} and not pure, {cell}, null))").alias(f"mixed{kind}") for kind in range(4)]
+    partial = [F.expr(f"collect_list(if(kind = {kind} and pure and m < 3, named_struct('k', k, 'n', cast(-n as int)), null))").alias(f"part{kind}") for kind in (0, 1)]
+    held = once.groupBy("id", "h", "z").agg(*counts, *mixed, *partial)
+
+    def left(kind: int) -> str:
+        out = f"flatten(transform(part{kind}, p -> {_entries('p.k', 'p.n', 'z')}))"
+        more = _let(f"mixed{kind}.at", "ats", f"filter({out}, e -> array_contains(ats, e.at))")
+        return f"if(size(mixed{kind}) = 0, mixed{kind}, {_added_in_parts(f'concat(mixed{kind}, {more})', 'z')})"
+
+    def numbers(kind: int) -> str:
+        found = _let(peeled(left(kind), "z"), "r", f"if(r is null, null, named_struct('a', a{kind} + size(r.a), 'b', b{kind} + size(r.b)))")
+        return f"if(size(mixed{kind}) = 0, named_struct('a', a{kind}, 'b', b{kind}), {found})"
+
+    def short(kind: int) -> str:
+        return _let(f"transform(mixed{kind}, c -> named_struct('at', -1 - c.at, 'n', c.n, 'k', c.k, 'c', c.c))", "cells", written("cells"))
+
+    return held.select(
+        "id", "h", F.expr(short(2)).alias("fingerprint"), F.expr(short(3)).alias("edited_fingerprint"),
+        F.expr(numbers(0)).alias("edited"), F.expr(numbers(1)).alias("next"),
+    )
+
+
+def _counted(a: str, b: str) -> str:
+    """SQL for the numbers of digests that only one of two arrays has, through larger sketches; for the case that all of them
+    fail (several digests would have to fall into the same three cells), from the arrays themselves."""
+    plain = f"named_struct('a', size(array_except({a}, {b})), 'b', size(array_except({b}, {a})))"
+    return _let(_differing(a, b), "r", f"if(r is null, {plain}, named_struct('a', size(r.a), 'b', size(r.b)))")
+
+
+def _alike(only: str, own: str = "n_own") -> str:
+    """SQL for shared digests among all of both; 1 where both have none."""
+    union = f"({own} + {only}.b)"
+    return f"if({union} = 0, 1D, ({own} - {only}.a) / cast({union} as double))"
+
+
 def compare_edits(docs: DataFrame, purpose: str = "fingerprints", units: Callable[[str], str] = digests) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): one row per row.
 
     The edited text has its last quarter of code points (rounded down) replaced by the first as many of the next
     document. Documents follow each other by doc_id, null first; those that share one by a hash of their texts. Repeated
     rows count once in that order and have the same result. Null texts count as empty. ``units`` gives the SQL for a
-    text's digests: of its lines, or finer ones.
+    text's digests, of its lines or finer ones; a unit never goes beyond its line.
+
+    Digests of a text's lines are taken once and serve for the text, for the lines that its edit leaves alone and for the
+    document before. Sketches have ``WIDE`` cells in each subtable for every digest of both sides; where peeling stops
+    early, larger ones are made.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
-    keys = rows.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"))
+    by_line = f"transform(split(text, '{BREAKS}'), l -> {units('l')})"
+    lines = stored(rows.select("id", "h", F.length("text").alias("n"), F.expr(by_line).alias("lines")), purpose)
+    keys = lines.groupBy("id", "h").agg(F.max("n").alias("n"))
     order = stored(followers(keys, purpose), purpose).select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n", "next_id", "next_h")
-    sent = (
-        rows.join(order, rows.id.eqNullSafe(order.next_id) & (rows.h == order.next_h))
-        .select("to_id", "to_h", F.expr("substring(text, 1, n div 4)").alias("head"), F.expr(units("text")).alias("next"))
-        .groupBy("to_id", "to_h").agg(F.first("head").alias("head"), F.first("next").alias("next"))
-    )
-    both = rows.join(sent, rows.id.eqNullSafe(sent.to_id) & (rows.h == sent.to_h)).select(
-        F.col("id").alias("doc_id"), F.length("text").alias("n"), "text", "head", "next"
+
+    def following(table: DataFrame, *columns) -> DataFrame:
+        sent = table.join(order, table.id.eqNullSafe(order.next_id) & (table.h == order.next_h)).select("to_id", "to_h", *columns)
+        return sent.groupBy("to_id", "to_h").agg(*(F.first(c).alias(c) for c in sent.columns[2:]))
+
+    heads = stored(following(rows, F.substring("text", F.lit(1), F.expr("n div 4")).alias("head")), purpose)
+    sent = following(lines.drop("n"), F.expr("array_distinct(flatten(lines))").alias("next"))
+    own = lines.groupBy("id", "h").agg(F.first("n").alias("n"), F.first("lines").alias("lines")).select(
+        F.col("id").alias("own_id"), F.col("h").alias("own_h"), "n", "lines"
     )
-    edited = both.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "next", F.expr(units("text")).alias("own"),
-        F.expr("concat(substring(text, 1, n - n div 4), head)").alias("new"),
-    ).select("doc_id", "n_chars", "next", "own", F.sha2("new", 256).alias("edited_sha256"), F.expr(units("new")).alias("new"))
-    drawn = edited.withColumn("a", F.expr(sketch("own", str(CELLS)))).withColumn("b", F.expr(sketch("new", str(CELLS))))
-    compared = drawn.withColumn("d_edited", F.expr(_differing("own", "new"))).withColumn("d_next", F.expr(_differing("own", "next")))
-    return compared.select(
-        "doc_id", "n_chars", "edited_sha256", F.expr(written("a")).alias("fingerprint"), F.expr(written("b")).alias("edited_fingerprint"),
-        F.expr(likeness("own", "new", "d_edited")).alias("near_edited"), F.expr(likeness("own", "next", "d_next")).alias("near_next"),
+    edited = (
+        rows.join(heads, rows.id.eqNullSafe(heads.to_id) & (rows.h == heads.to_h)).drop("to_id", "to_h")
+        .join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
+        .join(sent, F.col("id").eqNullSafe(sent.to_id) & (F.col("h") == sent.to_h))
+        .select(
+            "id", "h", F.col("n").cast("long").alias("n_chars"), "lines", "next", "head",
+            F.expr("substring(text, 1, n - n div 4)").alias("stays"),
+        )
+        .withColumn("parts", F.expr(f"split(stays, '{BREAKS}')"))
+        .withColumn("whole", F.expr("size(parts) - 1"))
+        .withColumn("rest", F.expr("concat(element_at(parts, -1), head)"))
+        .select(
+            "id", "h", "n_chars", "next", F.sha2(F.concat("stays", "head"), 256).alias("edited_sha256"),
+            F.expr("array_distinct(flatten(lines))").alias("own"),
+            F.expr(f"array_distinct(concat(flatten(slice(lines, 1, whole)), {units('rest')}))").alias("new"),
+        )
+    )
+    edited = stored(edited, purpose)
+    discard(lines, heads)
+    held = edited.agg(F.coalesce(F.sum(F.expr("size(own) + size(new) + size(next)")), F.lit(0)).alias("n")).first().n
+    sketched = edited.select("id", "h", "own", "new", "next").repartition(ranked_blocks(held, PER_TASK), "id", "h")
+    sketched = sketched.groupBy("id", "h").agg(*(F.first(c).alias(c) for c in ("own", "new", "next")))
+    sketched = sketched.withColumn("z", F.expr(f"cast({WIDE} * (size(own) + greatest(size(new), size(next))) + {CELLS} as int)"))
+    found = stored(_recovered(_cells(sketched)), purpose)
+    failed = found.where("edited is null or next is null")
+    if not failed.isEmpty():
+        again = failed.select("id", "h", "fingerprint", "edited_fingerprint").join(
+            edited.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(*(F.first(c).alias(c) for c in ("own", "new", "next"))),
+            F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")),
+        )
+        again = again.select(
+            "id", "h", "fingerprint", "edited_fingerprint", F.expr(_counted("own", "new")).alias("edited"), F.expr(_counted("own", "next")).alias("next")
+        )
+        found = found.where("edited is not null and next is not null").unionByName(again)
+    told = edited.select(F.col("id").alias("doc_id"), F.col("h").alias("g"), "n_chars", "edited_sha256", F.size("own").alias("n_own"))
+    # what has no digests has no cells either
+    none = F.expr("named_struct('a', 0, 'b', 0)")
+    empty = F.expr(written(f"cast(array() as array<{_CELL}>)"))
+    return (
+        told.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("g") == F.col("h")), "left")
+        .withColumn("edited", F.coalesce("edited", none)).withColumn("next", F.coalesce("next", none))
+        .select(
+            "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", empty).alias("fingerprint"),
+            F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"),
+            F.expr(_alike("edited")).alias("near_edited"), F.expr(_alike("next")).alias("near_next"),
+        )
     )
