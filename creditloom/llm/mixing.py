@@ -196,9 +196,10 @@ def _learned(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Recor
             codes, spans = joined([p for _, p in group])
             seen, task = True, zlib.crc32(codes[:4096].tobytes(), task)
             scored = np.concatenate([np.arange(a, b) for a, b in spans])
-            cls = code.classes[codes[scored]].astype(np.int32)
+            cls = code.classes[codes[scored]].astype(np.intp)
+            ones = np.ones(len(scored), np.uint32)
             for counts, rows in zip(tables, context_rows(codes, code)):
-                np.add.at(counts, rows[scored] + cls, np.uint32(1))
+                np.add.at(counts, rows[scored] + cls, ones)
     size = BLOCK_ROWS * CLASSES
     for k in range(len(flat) // size if seen else 0):
         part = flat[k * size : (k + 1) * size]
@@ -277,38 +278,38 @@ class Mixer:
         cls = code.classes[codes[scored]]
         length = code.length[cls]
         bit_at = np.concatenate([[0], np.cumsum(length)])
-        way = (np.arange(bit_at[-1]) - np.repeat(bit_at[:-1] - code.first[cls], length)).astype(np.int32)
-        nodes, right = code.nodes[way], code.bits[way].astype(np.float32)
-        inputs = [
-            t[np.repeat(r[scored], length) + nodes] * np.float32(1 / QUANTUM) for t, r in zip(self.tables, context_rows(codes, code))
-        ]
-        gates = np.minimum(scored - _word_starts(codes)[scored], GATES - 1) + lane * GATES
-        base = np.repeat(lane * BUCKETS, length)
+        byte = np.repeat(np.arange(len(cls)), length)  # of every bit
+        way = np.arange(bit_at[-1]) - (bit_at[:-1] - code.first[cls])[byte]
+        nodes, right = code.nodes[way], code.bits[way]
+        inputs = [t[r[scored][byte] + nodes] * np.float32(1 / QUANTUM) for t, r in zip(self.tables, context_rows(codes, code))]
+        gates = (np.minimum(scored - _word_starts(codes)[scored], GATES - 1) + lane * GATES)[byte]
+        base = (lane * BUCKETS)[byte]
 
         half = BUCKETS // 2
-        weights = np.tile(np.array(WEIGHTS, np.float32), (many * GATES, 1))
+        weights = [np.full(many * GATES, w, np.float32) for w in WEIGHTS]
         hits = np.tile(4 / (1 + np.exp(-(np.arange(BUCKETS) - half) / 2)), many)
         tries = np.full(many * BUCKETS, 4.0)
         total = np.zeros(many)
         for a, b in zip(byte_at, byte_at[1:]):
             bits = slice(bit_at[a], bit_at[b])
-            g, n, starts = gates[a:b], length[a:b], bit_at[a:b] - bit_at[a]
-            x, y = [i[bits] for i in inputs], right[bits]
-            z = np.zeros(len(y), np.float32)
-            for k, i in enumerate(x):
-                z += i * np.repeat(weights[g, k], n)
+            x, y, g = [i[bits] for i in inputs], right[bits], gates[bits]
+            z = x[0] * weights[0][g]
+            for w, i in zip(weights[1:], x[1:]):
+                z += i * w[g]
             np.clip(z, -8, 8, out=z)
             p = 1 / (1 + np.exp(-z))
-            bucket = (2 * z + np.float32(half + 0.5)).astype(np.int64) + base[bits]
+            bucket = (2 * z + np.float32(half + 0.5)).astype(np.intp) + base[bits]
             q = np.float32(0.6) * p + (0.4 * hits / tries).astype(np.float32)[bucket]
             np.clip(q, 1e-5, 1 - 1e-5, out=q)
             heads = np.flatnonzero(np.diff(lane[a:b], prepend=-1))
-            total[lane[a:b][heads]] += np.add.reduceat(np.log(np.abs(1 - y - q)), starts[heads], dtype=np.float64) / LN10
+            sure = np.log(np.where(y, q, 1 - q))
+            total[lane[a:b][heads]] += np.add.reduceat(sure, bit_at[a:b][heads] - bit_at[a], dtype=np.float64) / LN10
             error = y - p
-            for k, i in enumerate(x):
-                weights[:, k] += RATE * np.bincount(g, weights=np.add.reduceat(error * i, starts), minlength=len(weights))
-            hits += np.bincount(bucket, weights=y, minlength=len(hits))
-            tries += np.bincount(bucket, minlength=len(tries))
+            for w, i in zip(weights, x):
+                w += RATE * np.bincount(g, weights=error * i, minlength=len(w))
+            met = np.bincount(2 * bucket + y, minlength=2 * len(hits)).reshape(-1, 2)
+            hits += met[:, 1]
+            tries += met.sum(axis=1)
         return total + np.bincount(lane, weights=np.where(cls == RARE, code.rare[codes[scored]], 0.0), minlength=many)
 
 
