@@ -261,61 +261,57 @@ def compare_edits(docs: DataFrame, purpose: str = "fingerprints", units: Callabl
     text's digests, of its lines or finer ones; a unit never goes beyond its line.
 
     Digests of a text's lines are taken once and serve for the text, for the lines that its edit leaves alone and for the
-    document before. Sketches have ``WIDE`` cells in each subtable for every digest of both sides; where peeling stops
+    document before; texts themselves are shuffled but not stored. Sketches have ``WIDE`` cells in each subtable for every digest of both sides; where peeling stops
     early, larger ones are made.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
-    by_line = f"transform(split(text, '{BREAKS}'), l -> {units('l')})"
-    lines = stored(rows.select("id", "h", F.length("text").alias("n"), F.expr(by_line).alias("lines")), purpose)
-    keys = lines.groupBy("id", "h").agg(F.max("n").alias("n"))
+    keys = rows.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"))
     order = stored(followers(keys, purpose), purpose).select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n", "next_id", "next_h")
 
-    def following(table: DataFrame, *columns) -> DataFrame:
-        sent = table.join(order, table.id.eqNullSafe(order.next_id) & (table.h == order.next_h)).select("to_id", "to_h", *columns)
-        return sent.groupBy("to_id", "to_h").agg(*(F.first(c).alias(c) for c in sent.columns[2:]))
+    def to_former(table: DataFrame, *columns) -> DataFrame:
+        """What the row before each one shall have of it."""
+        return table.join(order, table.id.eqNullSafe(order.next_id) & (table.h == order.next_h)).select("to_id", "to_h", *columns)
 
-    heads = stored(following(rows, F.substring("text", F.lit(1), F.expr("n div 4")).alias("head")), purpose)
-    sent = following(lines.drop("n"), F.expr("array_distinct(flatten(lines))").alias("next"))
-    own = lines.groupBy("id", "h").agg(F.first("n").alias("n"), F.first("lines").alias("lines")).select(
-        F.col("id").alias("own_id"), F.col("h").alias("own_h"), "n", "lines"
-    )
+    heads = to_former(rows, F.substring("text", F.lit(1), F.expr("n div 4")).alias("head"))
+    heads = stored(heads.groupBy("to_id", "to_h").agg(F.first("head").alias("head")), purpose)
+    # the whole lines that an edit leaves alone have the same digests in both texts; only the rest is taken anew
     edited = (
-        rows.join(heads, rows.id.eqNullSafe(heads.to_id) & (rows.h == heads.to_h)).drop("to_id", "to_h")
-        .join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
-        .join(sent, F.col("id").eqNullSafe(sent.to_id) & (F.col("h") == sent.to_h))
-        .select(
-            "id", "h", F.col("n").cast("long").alias("n_chars"), "lines", "next", "head",
-            F.expr("substring(text, 1, n - n div 4)").alias("stays"),
-        )
-        .withColumn("parts", F.expr(f"split(stays, '{BREAKS}')"))
-        .withColumn("whole", F.expr("size(parts) - 1"))
-        .withColumn("rest", F.expr("concat(element_at(parts, -1), head)"))
+        rows.join(heads, rows.id.eqNullSafe(heads.to_id) & (rows.h == heads.to_h))
+        .withColumn("n", F.length("text")).withColumn("stays", F.expr("substring(text, 1, n - n div 4)"))
+        .withColumn("parts", F.expr(f"split(stays, '{BREAKS}')")).withColumn("rest", F.expr("concat(element_at(parts, -1), head)"))
         .select(
-            "id", "h", "n_chars", "next", F.sha2(F.concat("stays", "head"), 256).alias("edited_sha256"),
-            F.expr("array_distinct(flatten(lines))").alias("own"),
-            F.expr(f"array_distinct(concat(flatten(slice(lines, 1, whole)), {units('rest')}))").alias("new"),
+            "id", "h", F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("stays", "head"), 256).alias("edited_sha256"),
+            F.expr(f"transform(split(text, '{BREAKS}'), l -> {units('l')})").alias("lines"), F.expr("size(parts) - 1").alias("whole"),
+            F.expr(units("rest")).alias("rest"),
         )
     )
     edited = stored(edited, purpose)
-    discard(lines, heads)
-    held = edited.agg(F.coalesce(F.sum(F.expr("size(own) + size(new) + size(next)")), F.lit(0)).alias("n")).first().n
-    sketched = edited.select("id", "h", "own", "new", "next").repartition(ranked_blocks(held, PER_TASK), "id", "h")
-    sketched = sketched.groupBy("id", "h").agg(*(F.first(c).alias(c) for c in ("own", "new", "next")))
-    sketched = sketched.withColumn("z", F.expr(f"cast({WIDE} * (size(own) + greatest(size(new), size(next))) + {CELLS} as int)"))
+    discard(heads)
+    mine = edited.select("id", "h", "lines", "whole", "rest")
+    held = mine.agg(F.coalesce(F.sum(F.expr("3 * (size(flatten(lines)) + size(rest))")), F.lit(0)).alias("n")).first().n
+    sent = to_former(mine, F.expr("array_distinct(flatten(lines))").alias("next"))
+    sent = sent.withColumnsRenamed({"to_id": "id", "to_h": "h"})
+    gathered = mine.unionByName(sent, allowMissingColumns=True).repartition(ranked_blocks(held, PER_TASK), "id", "h")
+    gathered = gathered.groupBy("id", "h").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("lines", "whole", "rest", "next")))
+    arrays = gathered.select(
+        "id", "h", F.expr("array_distinct(flatten(lines))").alias("own"),
+        F.expr("array_distinct(concat(flatten(slice(lines, 1, whole)), rest))").alias("new"), "next",
+    )
+    sketched = arrays.withColumn("z", F.expr(f"cast({WIDE} * (size(own) + greatest(size(new), size(next))) + {CELLS} as int)"))
     found = stored(_recovered(_cells(sketched)), purpose)
     failed = found.where("edited is null or next is null")
     if not failed.isEmpty():
-        again = failed.select("id", "h", "fingerprint", "edited_fingerprint").join(
-            edited.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(*(F.first(c).alias(c) for c in ("own", "new", "next"))),
-            F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")),
-        )
-        again = again.select(
+        again = failed.select(F.col("id").alias("i"), F.col("h").alias("g"), "fingerprint", "edited_fingerprint")
+        again = arrays.join(again, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select(
             "id", "h", "fingerprint", "edited_fingerprint", F.expr(_counted("own", "new")).alias("edited"), F.expr(_counted("own", "next")).alias("next")
         )
         found = found.where("edited is not null and next is not null").unionByName(again)
-    told = edited.select(F.col("id").alias("doc_id"), F.col("h").alias("g"), "n_chars", "edited_sha256", F.size("own").alias("n_own"))
+    told = edited.select(
+        F.col("id").alias("doc_id"), F.col("h").alias("g"), "n_chars", "edited_sha256",
+        F.expr("size(array_distinct(flatten(lines)))").alias("n_own"),
+    )
     # what has no digests has no cells either
     none = F.expr("named_struct('a', 0, 'b', 0)")
     empty = F.expr(written(f"cast(array() as array<{_CELL}>)"))

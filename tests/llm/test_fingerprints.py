@@ -74,3 +74,8 @@ def test_peeling_recovers_the_difference_or_fails(spark, size):
     solved = [r for r in got if r.d is not None]
     assert all(sorted(r.d.a) == r.x and sorted(r.d.b) == r.y for r in solved)
     assert all(r.d is not None for r in got if len(r.x) + len(r.y) <= size)
+
+
+def test_rows_whose_first_sketches_fail_get_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "WIDE", 0)
+    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
