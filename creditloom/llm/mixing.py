@@ -204,23 +204,31 @@ def _learned(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Recor
     for k in range(len(flat) // size if seen else 0):
         part = flat[k * size : (k + 1) * size]
         if part.any():
-            data = zlib.compress(part.astype("<u8").tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([task], pa.int64()), pa.array([data], pa.binary())], ["block", "task", "counts"]
-            )
+                [pa.array([k], pa.int32()), pa.array([task], pa.int64()), pa.array([_packed(part)], pa.binary())],
+                ["block", "task", "counts"],
+            )
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """The places of a block's counts other than zero, then these counts; compressed."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(at.astype("<u4").tobytes() + counts[at].astype("<u8").tobytes(), 1)
 
 
 def _total(table: pa.Table) -> np.ndarray:
     total = np.zeros(BLOCK_ROWS * CLASSES, np.uint64)
     for data in table.column("counts"):
-        total += np.frombuffer(zlib.decompress(data.as_py()), "<u8")
+        own = zlib.decompress(data.as_py())
+        n = len(own) // 12
+        total[np.frombuffer(own, "<u4", n)] += np.frombuffer(own, "<u8", n, 4 * n)
     return total
 
 
 def _summed(table: pa.Table, code: Code | None) -> pa.Table:
     """The sum of a block's counts; with a code, the predictors made of it."""
     total = _total(table)
-    data = zlib.compress(total.astype("<u8").tobytes(), 1) if code is None else predictors(total, code).tobytes()
+    data = _packed(total) if code is None else predictors(total, code).tobytes()
     return pa.table(
         {
             "block": table.column("block")[:1].cast(pa.int32()), "task": pa.array([0], pa.int64()),
@@ -268,48 +276,50 @@ class Mixer:
         """
         codes, spans = joined(parts)
         code, many, sizes = self.code, len(parts), spans[:, 1] - spans[:, 0]
-        # bytes in order of step, then of part: what a step looks at lies together
         own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(own // CHUNK, kind="stable")
-        lane = np.repeat(np.arange(many), sizes)[order]
-        scored = spans[lane, 0] + own[order]
-        byte_at = np.searchsorted(own[order] // CHUNK, np.arange(-(-sizes.max() // CHUNK) + 1))
+        lane = np.repeat(np.arange(many), sizes)
+        place = np.repeat(spans[:, 0], sizes) + own
+        # bytes in order of step, then of part, then of gate: those that use and change the same weights are one run
+        run = (own // CHUNK * many + lane) * GATES + np.minimum(place - _word_starts(codes).take(place), GATES - 1)
+        order = np.argsort(run.astype(np.min_scalar_type(run.max())), kind="stable")
+        run, lane, scored = run[order], lane[order], place[order]
+        first = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1))
+        steps = np.searchsorted(run[first[:-1]], np.arange(-(-sizes.max() // CHUNK) + 1) * (many * GATES))
+        slots = run[first[:-1]] % (many * GATES)
 
         cls = code.classes[codes[scored]]
         length = code.length[cls]
         bit_at = np.concatenate([[0], np.cumsum(length)])
-        byte = np.repeat(np.arange(len(cls)), length)  # of every bit
-        way = np.arange(bit_at[-1]) - (bit_at[:-1] - code.first[cls])[byte]
-        nodes, right = code.nodes[way], code.bits[way]
-        inputs = [t[r[scored][byte] + nodes] * np.float32(1 / QUANTUM) for t, r in zip(self.tables, context_rows(codes, code))]
-        gates = (np.minimum(scored - _word_starts(codes)[scored], GATES - 1) + lane * GATES)[byte]
-        base = (lane * BUCKETS)[byte]
+        way = np.arange(bit_at[-1]) - np.repeat(bit_at[:-1] - code.first[cls], length)
+        nodes, right = code.nodes.take(way), code.bits.take(way)
+        rows = [np.repeat(r.take(scored), length) for r in context_rows(codes, code)]
+        inputs = [t.take(r + nodes) * np.float32(1 / QUANTUM) for t, r in zip(self.tables, rows)]
 
         half = BUCKETS // 2
         weights = [np.full(many * GATES, w, np.float32) for w in WEIGHTS]
         hits = np.tile(4 / (1 + np.exp(-(np.arange(BUCKETS) - half) / 2)), many)
         tries = np.full(many * BUCKETS, 4.0)
         total = np.zeros(many)
-        for a, b in zip(byte_at, byte_at[1:]):
-            bits = slice(bit_at[a], bit_at[b])
-            x, y, g = [i[bits] for i in inputs], right[bits], gates[bits]
-            z = x[0] * weights[0][g]
+        for a, b in zip(steps, steps[1:]):
+            edges, slot = bit_at[first[a : b + 1]], slots[a:b]
+            bits, starts, n = slice(edges[0], edges[-1]), edges[:-1] - edges[0], np.diff(edges)
+            x, y = [i[bits] for i in inputs], right[bits]
+            z = x[0] * np.repeat(weights[0][slot], n)
             for w, i in zip(weights[1:], x[1:]):
-                z += i * w[g]
+                z += i * np.repeat(w[slot], n)
             np.clip(z, -8, 8, out=z)
             p = 1 / (1 + np.exp(-z))
-            bucket = (2 * z + np.float32(half + 0.5)).astype(np.intp) + base[bits]
-            q = np.float32(0.6) * p + (0.4 * hits / tries).astype(np.float32)[bucket]
+            bucket = (2 * z + np.float32(half + 0.5)).astype(np.intp) + np.repeat(slot // GATES * BUCKETS, n)
+            q = np.float32(0.6) * p + (0.4 * hits / tries).astype(np.float32).take(bucket)
             np.clip(q, 1e-5, 1 - 1e-5, out=q)
-            heads = np.flatnonzero(np.diff(lane[a:b], prepend=-1))
             sure = np.log(np.where(y, q, 1 - q))
-            total[lane[a:b][heads]] += np.add.reduceat(sure, bit_at[a:b][heads] - bit_at[a], dtype=np.float64) / LN10
+            total += np.bincount(slot // GATES, weights=np.add.reduceat(sure, starts, dtype=np.float64), minlength=many) / LN10
             error = y - p
             for w, i in zip(weights, x):
-                w += RATE * np.bincount(g, weights=error * i, minlength=len(w))
+                w[slot] += RATE * np.add.reduceat(error * i, starts)
             met = np.bincount(2 * bucket + y, minlength=2 * len(hits)).reshape(-1, 2)
             hits += met[:, 1]
-            tries += met.sum(axis=1)
+            tries += met[:, 0] + met[:, 1]
         return total + np.bincount(lane, weights=np.where(cls == RARE, code.rare[codes[scored]], 0.0), minlength=many)
 
 
