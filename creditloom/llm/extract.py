@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log1p
 
@@ -31,10 +31,13 @@ CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "
 #: Elements beyond which an end tag or an implied end does not reach.
 WALLS = frozenset("article aside nav header footer main section table ul ol div form body".split())
 
+#: Attributes and the tag's end: quotes count after "=" only, one that never closes is a character like any other, and a
+#: tag without an end goes on to the end of the page. So every tag start matches at once and no place is tried twice.
+MORE = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+"
 TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<silent>" + SILENT.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?"
+    r"|<(?P<silent>" + SILENT.replace(" ", "|") + r")(?=[\s/>])" + MORE + r"(?:>.*?(?:</(?P=silent)\s*+>|\Z)|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<more>" + MORE + r")(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -64,6 +67,10 @@ class Node:
     name: str
     number: int
     section: int
+    parent: int = -1
+    wall: int = 0  # how deep the nearest element lies that end tags do not reach beyond, itself included
+    box: Node | None = None  # the nearest element that is a block, itself included
+    heading: bool = False
     article: bool = False
     main: bool = False
     good: bool = False
@@ -94,7 +101,12 @@ class Block:
 
 
 def _child(parent: Node, name: str, more: str, number: int) -> Node:
-    node = Node(name, number, parent.section, parent.article, parent.main, parent.good, parent.bad, parent.boilerplate, parent.hidden, parent.link)
+    node = Node(
+        name, number, parent.section, parent.number, parent.wall, parent.box, parent.heading or name in HEADINGS, parent.article,
+        parent.main, parent.good, parent.bad, parent.boilerplate, parent.hidden, parent.link,
+    )
+    if name in BLOCKS:
+        node.box = node
     role = name
     if more and not more.isspace():
         for key, value in NAMES.findall(more):
@@ -122,8 +134,20 @@ def _child(parent: Node, name: str, more: str, number: int) -> Node:
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, with what their ancestors say about them."""
-    stack, out, number = [Node("", 0, 0)], [], 0
+    root = Node("", 0, 0)
+    root.box = root
+    stack, out, number = [root], [], 0
     now: Block | None = None
+    depths: dict[str, list[int]] = {}  # where elements of a name are open
+
+    def deepest(names: Iterable[str]) -> int:
+        """Where the innermost open element of these names is; 0 if there is none."""
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
+    def leave(depth: int) -> None:
+        for node in stack[depth:]:
+            depths[node.name].pop()
+        del stack[depth:]
 
     def close() -> None:
         nonlocal now
@@ -138,8 +162,7 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            block = next((n for n in reversed(stack) if n.name in BLOCKS or not n.name))
-            now = Block(block, any(n.name in HEADINGS for n in stack))
+            now = Block(stack[-1].box, stack[-1].heading)
         now.parts.append(text)
         if stack[-1].link:
             now.linked += len(text.strip())
@@ -158,42 +181,39 @@ def blocks(page: str) -> list[Block]:
         elif name in SPACED and now is not None:
             now.parts.append(" ")
         if tag["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                if stack[depth].name in WALLS and name not in WALLS:
-                    break
+            depth = deepest([name])
+            if depth and (name in WALLS or depth > stack[-1].wall):
+                leave(depth)
             continue
         if name in BLOCKS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if name in CLOSED_BY.get(stack[depth].name, ()):
-                    del stack[depth:]
-                    break
-                if stack[depth].name in WALLS:
-                    break
+            depth = deepest(k for k, closers in CLOSED_BY.items() if name in closers)
+            if depth > stack[-1].wall:
+                leave(depth)
         if name not in VOID and not tag["more"].endswith("/"):
             number += 1
-            stack.append(_child(stack[-1], name, tag["more"], number))
+            node = _child(stack[-1], name, tag["more"], number)
+            if name in WALLS:
+                node.wall = len(stack)
+            depths.setdefault(name, []).append(len(stack))
+            stack.append(node)
     if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page's end cuts off
-        say(rest[: cut.start()] if cut else rest)
+        say(page[at:])
     close()
     return out
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
-    """Edges between neighbouring blocks and between those next to each other under one parent or in one section."""
+    """Edges between neighbouring blocks, between those that follow each other among one parent's elements of one kind (the
+    same name, with class names that speak alike), and between those that follow each other in one section."""
     edges: dict[tuple[int, int], float] = {}
-    by_parent: dict[int, int] = {}
-    by_section: dict[int, int] = {}
+    last: dict[tuple, int] = {}
     for i, b in enumerate(found):
-        ties = [(i - 1, BESIDE), (by_parent.get(b.node.number, -1), SAME_PARENT), (by_section.get(b.node.section, -1), SAME_SECTION)]
-        for j, w in ties:
+        n = b.node
+        kin, section = (n.parent, n.name, n.good, n.bad, n.hidden, n.boilerplate), (n.section,)
+        for j, w in ((i - 1, BESIDE), (last.get(kin, -1), SAME_PARENT), (last.get(section, -1), SAME_SECTION)):
             if j >= 0:
                 edges[j, i] = edges.get((j, i), 0) + w
-        by_parent[b.node.number] = by_section[b.node.section] = i
+        last[kin] = last[section] = i
     return edges
 
 
@@ -201,8 +221,8 @@ def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list
     """Labels that minimise the cut: costs[i] > 0 is paid for label False, -costs[i] for True, an edge where labels differ.
 
     A node whose own cost outweighs all its edges has its label in every minimum cut; it is settled and passes its edges
-    on to its neighbours' costs. What is left goes through the maximum flow (shortest augmenting paths from the source,
-    which holds the positive costs, to the sink). Where cuts tie, the one with fewest nodes on the source's side is taken.
+    on to its neighbours' costs. What is left goes through the maximum flow (augmenting paths from the positive costs to the
+    negative ones). Where cuts tie, the one with fewest nodes on the source's side is taken.
     """
     costs, label = list(costs), [None] * len(costs)
     near: list[dict[int, float]] = [{} for _ in costs]
@@ -227,32 +247,41 @@ def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list
 
 
 def _source_side(nodes: list[int], costs: list[float], near: list[dict[int, float]]) -> list[bool]:
-    source, sink, tiny = -1, -2, 1e-12
-    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
-    room[source] = {i: costs[i] for i in nodes if costs[i] > 0}
-    room[sink] = {}
-    for i in nodes:
-        room[i][source] = 0.0
-        if costs[i] < 0:
-            room[i][sink] = -costs[i]
-    while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
-            i = queue.popleft()
-            for j, r in room[i].items():
-                if r > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            return [i in came for i in nodes]
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] = room[j].get(i, 0.0) + flow
+    """Each positive node sends what it has along shortest paths to the nearest nodes that still take something, so that a
+    search stays near its node. Where none can be reached, nothing leaves what has been reached: it is on the source's side
+    and no later search goes there.
+    """
+    tiny = 1e-12
+    room = {i: dict(near[i]) for i in nodes}
+    takes = {i: -costs[i] for i in nodes if costs[i] < 0}
+    closed: set[int] = set()
+    for start in nodes:
+        has = costs[start]
+        while has > tiny and start not in closed:
+            came, queue, end = {start: start}, deque([start]), None
+            while queue and end is None:
+                i = queue.popleft()
+                for j, r in room[i].items():
+                    if r > tiny and j not in came and j not in closed:
+                        came[j] = i
+                        queue.append(j)
+                        if takes.get(j, 0.0) > tiny:
+                            end = j
+                            break
+            if end is None:
+                closed.update(came)
+                break
+            path, j = [], end
+            while j != start:
+                path.append((came[j], j))
+                j = came[j]
+            flow = min(has, takes[end], *(room[i][j] for i, j in path))
+            for i, j in path:
+                room[i][j] -= flow
+                room[j][i] += flow
+            has -= flow
+            takes[end] -= flow
+    return [i in closed for i in nodes]
 
 
 def main_text(page: str | None) -> str:
@@ -270,7 +299,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars): the main text of every row's page; the empty text where there is none or no page."""
+    """(page_id, url, text, n_chars): the main text of every row's page; the empty text where there is none or no page.
+
+    Every row has its own result, repeated rows and rows without an id too; other columns are left out whatever their names.
+    Pages of any length are read whole, in time in proportion to their length, broken markup included.
+    """
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

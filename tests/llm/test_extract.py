@@ -2,6 +2,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -77,3 +78,42 @@ def test_odd_pages(spark):
     assert by_id[1] == by_id[2] == by_id[9] == "" and by_id[5] == "Twice." and by_id[7].count("\n\n") == 19_999
     assert by_id[3].startswith("plain text")
     assert extract.extract(pages.where("false")).count() == 0
+
+
+def test_siblings_turn_short_paragraphs():
+    """Without article or main, short lines look like boilerplate by themselves; their siblings say that they are not."""
+    lines = ["A first paragraph of some length, which ends in a full stop.", "Short line", "Another paragraph of the same kind, with its own stop."]
+    page = PAGE % ("<div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>")
+    found = extract.blocks(page)
+    costs = [b.log_odds() for b in found]
+    labels = extract.minimum_cut(costs, extract.smoothness(found))
+    assert [b.text for b, c, x in zip(found, costs, labels) if (c > 0) != x] == ["Short line"]
+    assert extract.main_text(page) == "\n\n".join(lines)
+
+
+def test_pages_without_article(spark):
+    """The test pages with other elements in place of article and main: the cut finds more of them than costs alone, and all
+    but a few."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = alone = 0
+    for page in pages:
+        found = extract.blocks(re.sub(r"(</?)(?:article|main)\b", r"\1div", page))
+        costs = [b.log_odds() for b in found]
+        labels = extract.minimum_cut(costs, extract.smoothness(found))
+        want = extract.main_text(page)
+        right += want == "\n\n".join(b.text for b, keep in zip(found, labels) if keep)
+        alone += want == "\n\n".join(b.text for b, c in zip(found, costs) if c > 0)
+    assert right > alone and right >= 0.98 * len(pages)
+
+
+@pytest.mark.parametrize("piece", ['<a "x ', '<a x=">" ', '<a x="', "<div>x ", "<b></i>", "</ x", "<p>A short line</p><p>A longer one has words and a stop.</p>"])
+def test_time_grows_with_length(piece):
+    """Half a megabyte of markup that never closes; a scan that tried places again would take minutes."""
+    began = time.process_time()
+    extract.main_text(piece * (500_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def test_broken_tags():
+    assert extract.main_text("<article><p>One two.</p><p title='x>Three four.</p><p>Five six.</p></article>") == "One two.\n\nThree four.\n\nFive six."
+    assert extract.main_text('<article><p title="a > b">One two.</p></ no><p>Three.<a href="x') == "One two.\n\nThree."
