@@ -109,6 +109,9 @@ def rules() -> list[Rule]:
     out: list[Rule] = []
     said = "(?: as published by the free software foundation)?(?: either)?"
     under = "(?:licen[cs]ed|released|distributed|available|covered|provided|published)(?: under| by)(?: the)?(?: terms of)?(?: the)? "
+    # what the bare name's rule may begin with, so that a name with its version holds that rule's interval
+    named = "(?:(?:under|licen[cs]e) (?:the )?)?"
+    said_by = f"(?:{under}|(?:under|licen[cs]e) )?(?:the )?"
     for label, full, short, keyword, versions in VERSIONED:
         for v in versions.split():
             number = f"{label}-{v}"
@@ -117,9 +120,9 @@ def rules() -> list[Rule]:
             out += [
                 Rule(number, f"spdx licen[cs]e identifier {short} {at}(?: only)?", "spdx", IDENTIFIER, 1.0),
                 Rule(f"{number}-or-later", f"spdx licen[cs]e identifier {short} {at} or later", "spdx", IDENTIFIER, 1.0),
-                Rule(number, f"(?:{under})?(?:the )?{full}{said}(?: version| v)? {at}", keyword, TEXT, 0.95),
-                Rule(f"{number}-or-later", f"(?:{under})?(?:the )?{full}{said}(?: version| v)? {at}(?: of the licen[cs]e)?(?: or)?(?: at your option)?(?: any)? later(?: version)?", keyword, TEXT, 0.95),
-                Rule(number, f"{short}(?: licen[cs]e)?(?: version| v)? ?v?{at}", short_key, NAME, 0.7),
+                Rule(number, f"{said_by}{full}{said}(?: version| v)? {at}", keyword, TEXT, 0.95),
+                Rule(f"{number}-or-later", f"{said_by}{full}{said}(?: version| v)? {at}(?: of the licen[cs]e)?(?: or)?(?: at your option)?(?: any)? later(?: version)?", keyword, TEXT, 0.95),
+                Rule(number, f"{named}{short}(?: licen[cs]e)?(?: version| v)? ?v?{at}", short_key, NAME, 0.7),
             ]
         out += [
             Rule(label, f"(?:{under})?(?:the )?{full}", keyword, NAME, 0.8),

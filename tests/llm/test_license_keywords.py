@@ -45,3 +45,21 @@ def test_short_names_without_the_word_license(spark, text, label):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     row = licenses.scan(docs).first()
     assert (row.labels, row.score) == (label, 0.6)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("licensed under Apache 2.0", "apache-2"), ("It is under the MPL 1.1 now", "mpl-1.1"), ("License: EPL v2", "epl-2"),
+        ("this is under the Eclipse Public License version 2", "epl-2"), ("under the gpl version 3 or so", "gpl-3"),
+    ],
+)
+def test_name_with_version_stands_for_the_bare_name(spark, text, label):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(docs).first().labels == label
+
+
+def test_bare_name_beside_a_version(spark):
+    """Two places: only the one that holds a version hides the name in it."""
+    docs = spark.createDataFrame([(1, "under the MPL 1.1. Parts are under the MPL")], "doc_id long, text string")
+    assert licenses.scan(docs).first().labels == "mpl,mpl-1.1"
