@@ -163,3 +163,13 @@ def test_importances_cover_all_inputs(spark, trained):
     rows = models.importances(spark, model, run.preparation.inputs).collect()
     assert len(rows) == len(run.preparation.inputs)
     assert sum(r.importance for r in rows) == pytest.approx(1)
+
+
+def test_forest_keeps_places_and_grows_the_same_trees(spark, view):
+    """Rows do not go down every tree again in every pass; the trees are those of the plain way."""
+    _, train, _, _ = training.prepared_split(view)
+    weighted = metrics.with_class_weight(train, "is_default", "balanced")
+    forest = models.fit_forest(weighted, "is_default", numTrees=4)
+    assert forest.getCacheNodeIds() and spark.sparkContext.getCheckpointDir()
+    plain = models.fit_forest(weighted, "is_default", numTrees=4, cacheNodeIds=False)
+    assert forest.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
