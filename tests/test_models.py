@@ -173,3 +173,20 @@ def test_forest_keeps_places_and_grows_the_same_trees(spark, view):
     assert forest.getCacheNodeIds() and spark.sparkContext.getCheckpointDir()
     plain = models.fit_forest(weighted, "is_default", numTrees=4, cacheNodeIds=False)
     assert forest.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
+
+
+def test_large_forest_is_saved_tree_by_tree(trained, view, tmp_path, monkeypatch):
+    """No stage holds more than one tree's nodes, and scores and classes are the forest's."""
+    run, _ = trained
+    monkeypatch.setattr(models, "NODES_TOGETHER", 0)
+    path = str(tmp_path / "apart")
+    models.save_model(run.pipelines["forest"], path)
+    loaded = models.load_model(path)
+    assert all(getattr(s, "getNumTrees", 1) == 1 for s in loaded.stages)
+    expected = {r.loan_id: r for r in models.score(run.pipelines["forest"], view, "loan_id", "is_default").collect()}
+    found = models.score(loaded, view, "loan_id", "is_default").collect()
+    assert len(found) == len(expected) == view.count()
+    assert {r.prediction for r in found} == {0, 1}
+    for r in found:
+        assert (r.prediction, r.is_default) == (expected[r.loan_id].prediction, expected[r.loan_id].is_default)
+        assert r.score == pytest.approx(expected[r.loan_id].score, rel=1e-12)
