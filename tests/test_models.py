@@ -190,3 +190,13 @@ def test_large_forest_is_saved_tree_by_tree(trained, view, tmp_path, monkeypatch
     for r in found:
         assert (r.prediction, r.is_default) == (expected[r.loan_id].prediction, expected[r.loan_id].is_default)
         assert r.score == pytest.approx(expected[r.loan_id].score, rel=1e-12)
+
+
+def test_forest_is_fitted_last(view, monkeypatch):
+    """The largest model is not held while others are fitted; the order of results stays as asked for."""
+    order = []
+    for kind in ("logistic", "forest", "boosted"):
+        real = getattr(models, f"fit_{kind}")
+        monkeypatch.setattr(models, f"fit_{kind}", lambda *a, k=kind, f=real, **p: order.append(k) or f(*a, **p))
+    run = training.train_evaluate(view, params=SMALL)
+    assert order == ["logistic", "boosted", "forest"] and list(run.pipelines) == list(run.scored) == ["logistic", "forest", "boosted"]
