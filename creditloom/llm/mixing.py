@@ -8,11 +8,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import accumulate
 from math import ceil, log, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ PRIOR, DOUBT = 0.03, 0.5  # added to counts; how much evidence makes a predictor
 QUANTUM = 12.0  # log odds are kept as whole numbers of 1/12
 #: Most tokens that are looked up in memory; those with at least 1/HEAVY of all occurrences, so there can be no more.
 HEAVY = 500_000
-TOKENS_HELD = 200_000  # distinct tokens that a task counts before it hands them on
+TOKENS_HELD = 200_000  # distinct tokens that a task counts before it hands them on; before they are summed, twice as many
+TABLES_HELD = 500  # tables of tokens that are summed at the latest
 LN10 = log(10)
 END_TOKEN = b"\n"  # no word has white space
 FOLD, HELD_OUT = 7, 2
@@ -128,66 +129,103 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([stops - sizes + LEAD, stops], axis=1)
 
 
-def context_rows(codes: np.ndarray, code: Code) -> list[np.ndarray]:
-    """For every byte the row of each predictor's table that its context selects, times the size of a row."""
-    cls = code.classes[codes].astype(np.uint32)
-    before = [np.concatenate([np.zeros(k, np.uint32), cls[: len(cls) - k]]) for k in range(1, 6)]
-    three = before[0] | before[1] << np.uint32(6) | before[2] << np.uint32(12)
-    five = three | before[3] << np.uint32(18) | before[4] << np.uint32(24)
+def context_rows(codes: np.ndarray, code: Code, start: np.ndarray) -> list[np.ndarray]:
+    """For every byte the row of each predictor's table that its context selects. ``start`` is where its word begins."""
+    cls = np.frombuffer(codes.tobytes().translate(code.classes.tobytes()), np.uint8)
+    before = np.zeros(len(codes) + 1, np.uint32)  # classes of the three bytes up to each
+    before[1:] = cls
+    before[2:] |= cls[:-1] * np.uint32(1 << 6)
+    before[3:] |= cls[:-2] * np.uint32(1 << 12)
+    three = before[:-1]
+    five = three.copy()
+    five[3:] |= (three[:-3] & np.uint32(0xFFF)) << np.uint32(18)
     # digest of the bytes since the last white space or start; the last byte beyond ASCII hints at the language
-    places = np.arange(len(codes))
-    start = _word_starts(codes)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * POWERS.upto(len(codes)))])
-    word = (sums[places] - sums[start]) * INVERSE.upto(len(codes) + 1)[start]
-    far = np.maximum.accumulate(np.where(codes >= 128, places, 0))
-    hint = np.concatenate([[0], codes[far][:-1]]).astype(np.uint64)
-    word = (word ^ (word >> np.uint64(29))) + hint * np.uint64(0x9E3779B97F4A7C15)
-    word = (word ^ (word >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)
-    hinted = three + hint.astype(np.uint32) * np.uint32(0xC2B2AE35)
-    rows = [hinted * np.uint32(0x9E3779B1) >> np.uint32(16), five * np.uint32(0x85EBCA6B) >> np.uint32(16), word]
-    return [r.astype(np.int32) * np.int32(CLASSES) for r in rows]
-
-
-def _word_starts(codes: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    word = codes.astype(np.uint64)
+    word += np.uint64(1)
+    word *= POWERS.upto(len(codes))
+    np.cumsum(word, out=sums[1:])
+    np.subtract(sums[:-1], sums.take(start), out=word)
+    word *= INVERSE.upto(len(codes) + 1).take(start)
+    far = np.flatnonzero(codes[:-1] >= 128)
+    hint = np.repeat(np.append(codes[:1], codes[far]), np.diff(far + 1, prepend=0, append=len(codes))).astype(np.uint32)
+    hint[0] = 0
+    word ^= word >> np.uint64(29)
+    word += hint * np.uint64(0x9E3779B97F4A7C15)
+    word ^= word >> np.uint64(32)
+    word *= np.uint64(0xBF58476D1CE4E5B9)
+    word >>= np.uint64(46)
+    hinted = hint * np.uint32(0xC2B2AE35)
+    hinted += three
+    hinted *= np.uint32(0x9E3779B1)
+    five *= np.uint32(0x85EBCA6B)
+    return [(hinted >> np.uint32(16)).astype(np.int32), (five >> np.uint32(16)).astype(np.int32), word.astype(np.int32)]
+
+
+def word_starts(codes: np.ndarray) -> np.ndarray:
     """For every byte where the word begins that it would go on with."""
-    gap = (codes <= 32) | (codes >= START)
-    start = np.maximum.accumulate(np.where(gap, np.arange(1, len(codes) + 1), 0))
-    return np.concatenate([[0], start[:-1]])
+    after = np.flatnonzero((codes[:-1] <= 32) | (codes[:-1] >= START)) + 1
+    return np.repeat(np.append(0, after), np.diff(after, prepend=0, append=len(codes)))
 
 
 # --- learning: counts of tokens, of bytes, and of classes by context
 
 
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of every token of the texts, ends included and last, and the distinct tokens that have these numbers."""
+    texts = batch.column("text").cast(pa.binary()).fill_null(b"").view(pa.string())
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    distinct, numbers = coded.dictionary.view(pa.binary()), coded.indices.to_numpy()
+    nothing = distinct.index(b"").as_py()  # stands before and behind white space at a text's edges
+    if nothing >= 0:
+        rows, numbers = rows[numbers != nothing], numbers[numbers != nothing]
+    ends = np.arange(len(words))
+    return (
+        np.concatenate([rows, ends]), np.concatenate([numbers.astype(np.int64), np.full(len(ends), len(distinct))]),
+        pa.concat_arrays([distinct, pa.array([END_TOKEN], pa.binary())]),
+    )
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens and bytes with their numbers, summed over the task's texts as far as memory allows."""
-    tokens: Counter[bytes] = Counter()
+    tokens: list[pa.Table] = []
+    held = 0
     histogram = np.zeros(256, np.int64)
 
-    def told() -> pa.RecordBatch:
+    def merged() -> pa.Table:
+        own = pa.concat_tables(tokens).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return own.select(["token", "n_sum"]).rename_columns(["token", "n"])
+
+    def told(own: pa.Table) -> Iterator[pa.RecordBatch]:
         seen = np.flatnonzero(histogram)
-        words = [*tokens, *[None] * len(seen)]
-        numbers = [*[-1] * len(tokens), *seen.tolist()]
-        counts = [*tokens.values(), *histogram[seen].tolist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], ["token", "byte", "n"]
-        )
+        bytes_seen = [pa.nulls(len(seen), pa.binary()), pa.array(seen, pa.int32()), pa.array(histogram[seen], pa.int64())]
+        yield pa.RecordBatch.from_arrays(bytes_seen, ["token", "byte", "n"])
+        for batch in own.to_batches():
+            number = pa.array(np.full(batch.num_rows, -1), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), number, batch.column(1)], ["token", "byte", "n"])
 
     for batch in slices(batches):
+        _, numbers, distinct = _tokens(batch)
+        n = np.bincount(numbers, minlength=len(distinct))
+        tokens.append(pa.table({"token": distinct, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
         for text in raw(batch, "text"):
-            low = text.lower()
-            tokens.update(low.split())
-            tokens[END_TOKEN] += 1
-            histogram += np.bincount(np.frombuffer(low, np.uint8), minlength=256)
+            histogram += np.bincount(np.frombuffer(text.lower(), np.uint8), minlength=256)
             histogram[END] += 1
-        if len(tokens) > TOKENS_HELD:
-            yield told()
-            tokens.clear()
-            histogram[:] = 0
-    yield told()
+        held += tokens[-1].num_rows
+        if held > 2 * TOKENS_HELD or len(tokens) > TABLES_HELD:
+            tokens = [merged()]
+            held = tokens[0].num_rows
+            if held > TOKENS_HELD:
+                yield from told(tokens.pop())
+                held, histogram[:] = 0, 0
+    if tokens:
+        yield from told(merged())
 
 
 def _learned(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """Counts of this task's texts, in blocks, compressed."""
+    """Counts of this task's texts, in blocks."""
     flat = np.zeros(sum(ROWS) * CLASSES, np.uint32)
     tables = np.split(flat, np.cumsum(ROWS)[:-1] * CLASSES)
     seen, task = False, 0
@@ -198,8 +236,8 @@ def _learned(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Recor
             scored = np.concatenate([np.arange(a, b) for a, b in spans])
             cls = code.classes[codes[scored]].astype(np.intp)
             ones = np.ones(len(scored), np.uint32)
-            for counts, rows in zip(tables, context_rows(codes, code)):
-                np.add.at(counts, rows[scored] + cls, ones)
+            for counts, rows in zip(tables, context_rows(codes, code, word_starts(codes))):
+                np.add.at(counts, rows[scored] * CLASSES + cls, ones)
     size = BLOCK_ROWS * CLASSES
     for k in range(len(flat) // size if seen else 0):
         part = flat[k * size : (k + 1) * size]
@@ -211,17 +249,22 @@ def _learned(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.Recor
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """The places of a block's counts other than zero, then these counts; compressed."""
-    at = np.flatnonzero(counts)
-    return zlib.compress(at.astype("<u4").tobytes() + counts[at].astype("<u8").tobytes(), 1)
+    """A bit for each of a block's counts that isn't zero, then these as one byte each; those over 254 follow whole."""
+    own = counts[counts > 0]
+    small = np.minimum(own, 255).astype(np.uint8)
+    return np.packbits(counts > 0).tobytes() + small.tobytes() + own[small == 255].astype("<u8").tobytes()
 
 
 def _total(table: pa.Table) -> np.ndarray:
-    total = np.zeros(BLOCK_ROWS * CLASSES, np.uint64)
+    size = BLOCK_ROWS * CLASSES
+    total = np.zeros(size, np.uint64)
     for data in table.column("counts"):
-        own = zlib.decompress(data.as_py())
-        n = len(own) // 12
-        total[np.frombuffer(own, "<u4", n)] += np.frombuffer(own, "<u8", n, 4 * n)
+        own = data.as_py()
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8, size // 8)).view(bool))
+        small = np.frombuffer(own, np.uint8, len(at), size // 8)
+        counts = small.astype(np.uint64)
+        counts[small == 255] = np.frombuffer(own[size // 8 + len(at) :], "<u8")
+        total[at] += counts
     return total
 
 
@@ -261,9 +304,10 @@ class Mixer:
     tables: list[np.ndarray]
 
     def scores(self, texts: list[bytes]) -> list[float]:
-        """log10 probability of each text with its end."""
+        """log10 probability of each text with its end. Parts of like length are mixed side by side, so that few steps have
+        parts that ended before."""
         out = np.zeros(len(texts))
-        for group in together(parts_of(texts), LANES):
+        for group in together(sorted(parts_of(texts), key=lambda p: len(p[1])), LANES):
             np.add.at(out, [i for i, _ in group], self._mixed([p for _, p in group]))
         return out.tolist()
 
@@ -276,24 +320,26 @@ class Mixer:
         """
         codes, spans = joined(parts)
         code, many, sizes = self.code, len(parts), spans[:, 1] - spans[:, 0]
-        own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        lane = np.repeat(np.arange(many), sizes)
-        place = np.repeat(spans[:, 0], sizes) + own
+        start = word_starts(codes)
+        own = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        place = own + np.repeat(np.cumsum(sizes) - sizes + LEAD * np.arange(1, many + 1), sizes).astype(np.int32)
         # bytes in order of step, then of part, then of gate: those that use and change the same weights are one run
-        run = (own // CHUNK * many + lane) * GATES + np.minimum(place - _word_starts(codes).take(place), GATES - 1)
+        run = own // np.int32(CHUNK) * np.int32(many * GATES) + np.repeat(np.arange(many, dtype=np.int32) * GATES, sizes)
+        run += np.minimum(place - start.take(place), np.int32(GATES - 1))
         order = np.argsort(run.astype(np.min_scalar_type(run.max())), kind="stable")
-        run, lane, scored = run[order], lane[order], place[order]
-        first = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1))
-        steps = np.searchsorted(run[first[:-1]], np.arange(-(-sizes.max() // CHUNK) + 1) * (many * GATES))
-        slots = run[first[:-1]] % (many * GATES)
-
-        cls = code.classes[codes[scored]]
-        length = code.length[cls]
+        run, scored = run.take(order), place.take(order)
+        first = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
+        slots = run[first[:-1]]
+        steps = np.searchsorted(slots, np.arange(-(-sizes.max() // CHUNK) + 1) * (many * GATES))
+        slots %= many * GATES
+
+        cls = code.classes.take(codes.take(scored))
+        length = code.length.take(cls)
         bit_at = np.concatenate([[0], np.cumsum(length)])
-        way = np.arange(bit_at[-1]) - np.repeat(bit_at[:-1] - code.first[cls], length)
-        nodes, right = code.nodes.take(way), code.bits.take(way)
-        rows = [np.repeat(r.take(scored), length) for r in context_rows(codes, code)]
-        inputs = [t.take(r + nodes) * np.float32(1 / QUANTUM) for t, r in zip(self.tables, rows)]
+        to_way = code.first.take(cls) - bit_at[:-1]  # added to a bit's number: its place in the code's ways
+        ways = (code.nodes * 2 + code.bits).astype(np.uint8)
+        tables = [t.reshape(-1, CLASSES) for t in self.tables]
+        rows = [r.take(scored) for r in context_rows(codes, code, start)]
 
         half = BUCKETS // 2
         weights = [np.full(many * GATES, w, np.float32) for w in WEIGHTS]
@@ -301,26 +347,43 @@ class Mixer:
         tries = np.full(many * BUCKETS, 4.0)
         total = np.zeros(many)
         for a, b in zip(steps, steps[1:]):
-            edges, slot = bit_at[first[a : b + 1]], slots[a:b]
-            bits, starts, n = slice(edges[0], edges[-1]), edges[:-1] - edges[0], np.diff(edges)
-            x, y = [i[bits] for i in inputs], right[bits]
+            runs, slot = first[a : b + 1], slots[a:b]
+            edges = bit_at[runs]
+            starts, n = edges[:-1] - edges[0], np.diff(edges)
+            chunk = slice(runs[0], runs[-1])
+            way = ways.take(np.repeat(to_way[chunk], length[chunk]) + np.arange(edges[0], edges[-1]))
+            y = way & 1
+            # each byte's rows are fetched whole, once; its bits are then found at the same places for all predictors
+            at = np.repeat(np.arange(runs[-1] - runs[0]) * CLASSES, length[chunk]) + (way >> 1)
+            near = (t.take(r[chunk], axis=0) for t, r in zip(tables, rows))
+            x = [t.take(at) * np.float32(1 / QUANTUM) for t in near]
             z = x[0] * np.repeat(weights[0][slot], n)
             for w, i in zip(weights[1:], x[1:]):
                 z += i * np.repeat(w[slot], n)
             np.clip(z, -8, 8, out=z)
-            p = 1 / (1 + np.exp(-z))
-            bucket = (2 * z + np.float32(half + 0.5)).astype(np.intp) + np.repeat(slot // GATES * BUCKETS, n)
-            q = np.float32(0.6) * p + (0.4 * hits / tries).astype(np.float32).take(bucket)
+            p = np.negative(z)
+            np.exp(p, out=p)
+            p += 1
+            np.divide(1, p, out=p)
+            z *= 2
+            z += np.float32(half + 0.5)
+            bucket = z.astype(np.int32) + np.repeat((slot // GATES * BUCKETS).astype(np.int32), n)
+            q = (0.4 * hits / tries).astype(np.float32).take(bucket)
+            q += np.float32(0.6) * p
             np.clip(q, 1e-5, 1 - 1e-5, out=q)
-            sure = np.log(np.where(y, q, 1 - q))
+            q -= 1 - y  # so its amount is the probability of the branch taken
+            sure = np.log(np.abs(q, out=q), out=q)
             total += np.bincount(slot // GATES, weights=np.add.reduceat(sure, starts, dtype=np.float64), minlength=many) / LN10
             error = y - p
             for w, i in zip(weights, x):
-                w[slot] += RATE * np.add.reduceat(error * i, starts)
+                i *= error
+                w[slot] += RATE * np.add.reduceat(i, starts)
             met = np.bincount(2 * bucket + y, minlength=2 * len(hits)).reshape(-1, 2)
             hits += met[:, 1]
             tries += met[:, 0] + met[:, 1]
-        return total + np.bincount(lane, weights=np.where(cls == RARE, code.rare[codes[scored]], 0.0), minlength=many)
+        rare = np.flatnonzero(cls == RARE)
+        lane = np.searchsorted(spans[:, 1], scored[rare], side="right")
+        return total + np.bincount(lane, weights=code.rare[codes[scored[rare]]], minlength=many)
 
 
 # --- the whole table
@@ -332,31 +395,22 @@ def _scored(batches: Iterator[pa.RecordBatch], mixer, heavy, scale: float) -> It
     first = TaskContext.get().partitionId() << 40
     for batch in slices(batches):
         texts = raw(batch, "text")
-        n_tokens, n_known, base, sizes, words, numbers = [], [], [], [], [], []
-        for text in texts:
-            own = Counter(text.lower().split())
-            own[END_TOKEN] = 1
-            at, found, before = 0.0, 0, len(words)
-            for word, n in own.items():
-                c = known.get(word)
-                if c is None:
-                    words.append(word)
-                    numbers.append(n)
-                else:
-                    found += n
-                    at += n * log10((c + 1) / scale)
-            n_tokens.append(own.total())
-            n_known.append(found)
-            base.append(at)
-            sizes.append(len(words) - before)
-        offsets = pa.array([0, *accumulate(sizes)], pa.int32())
-        rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], ["token", "n"])
+        rows, numbers, distinct = _tokens(batch)
+        count = np.array([known.get(word, 0) for word in distinct.to_numpy(zero_copy_only=False).tolist()])
+        value = np.where(count > 0, np.log10((count + 1) / scale), 0.0)
+        n_tokens = np.bincount(rows, minlength=len(texts))
+        n_known = np.bincount(rows[count[numbers] > 0], minlength=len(texts))
+        base = np.bincount(rows, weights=value[numbers], minlength=len(texts))
+        unmet = count[numbers] == 0
+        pairs, n = np.unique(rows[unmet] * len(distinct) + numbers[unmet], return_counts=True)
+        offsets = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(distinct))
+        rest = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % len(distinct))), pa.array(n, pa.int64())], ["token", "n"])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(range(first, first + len(texts)), pa.int64()), batch.column("doc_id"), batch.column("held_out"),
                 pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
                 pa.array(model.scores(texts), pa.float64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.ListArray.from_arrays(offsets, rest),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest),
             ],
             ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes", "rest"],
         )
