@@ -351,12 +351,13 @@ class Mixer:
             edges = bit_at[runs]
             starts, n = edges[:-1] - edges[0], np.diff(edges)
             chunk = slice(runs[0], runs[-1])
-            way = ways.take(np.repeat(to_way[chunk], length[chunk]) + np.arange(edges[0], edges[-1]))
-            y = way & 1
             # each byte's rows are fetched whole, once; its bits are then found at the same places for all predictors
-            at = np.repeat(np.arange(runs[-1] - runs[0]) * CLASSES, length[chunk]) + (way >> 1)
+            pair = np.stack([to_way[chunk], np.arange(runs[-1] - runs[0]) * CLASSES], axis=1)
+            pair = np.repeat(pair.view(np.complex128).ravel(), length[chunk]).view(np.int64).reshape(-1, 2)  # spread as one
+            way = ways.take(pair[:, 0] + np.arange(edges[0], edges[-1]), mode="clip")
+            y, at = way & 1, pair[:, 1] + (way >> 1)
             near = (t.take(r[chunk], axis=0) for t, r in zip(tables, rows))
-            x = [t.take(at) * np.float32(1 / QUANTUM) for t in near]
+            x = [t.take(at, mode="clip") * np.float32(1 / QUANTUM) for t in near]
             z = x[0] * np.repeat(weights[0][slot], n)
             for w, i in zip(weights[1:], x[1:]):
                 z += i * np.repeat(w[slot], n)
