@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from creditloom.session import clear_scratch, discard, scratch_dir, stored
 
 __all__ = [
-    "clear_scratch", "crc_of_id", "discard", "prepare", "ranked_blocks", "scratch_dir", "slices", "stored", "table",
+    "clear_scratch", "crc_of_id", "discard", "prepare", "ranked_blocks", "scratch_dir", "slices", "sorted_join", "stored",
+    "table",
 ]
 
 #: Rows handed to Python at a time; with very long texts the default of 10,000 would need gigabytes.
@@ -44,6 +45,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sorted_join(rows: DataFrame) -> DataFrame:
+    """The table, whose next join sorts both sides and sends neither whole to the driver and to every task.
+
+    For tables that grow with the input: Spark does not count the rows that an explode adds, and takes a file's size for
+    that of its rows, so it would broadcast them up to a size that the driver cannot hold.
+    """
+    return rows.hint("merge")
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of the id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import discard, stored
+from creditloom.llm.common import discard, sorted_join, stored
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -22,13 +22,10 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 def _is_star(edges: DataFrame) -> bool:
     """Whether every node points to a single one that points nowhere."""
-    hubs = edges.select(F.col("u").alias("w")).distinct()
-    found = (
-        edges.join(hubs, edges.v == hubs.w, "left")
-        .agg(F.count("*").alias("n"), F.countDistinct("u").alias("sources"), F.count("w").alias("chained"))
-        .first()
-    )
-    return found.n == found.sources and found.chained == 0
+    found = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("sources")).first()
+    # each end once: a join of the edges would bring all of a hub to one task
+    ends, hubs = edges.select("v").distinct(), edges.select(F.col("u").alias("w")).distinct()
+    return found.n == found.sources and sorted_join(ends).join(hubs, ends.v == hubs.w, "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
@@ -43,11 +40,11 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _smallest(both)
         large = _oriented(
-            both.join(low, both.u == low.hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+            sorted_join(both).join(low, both.u == low.hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
         )
         large = stored(large, purpose)
         low = _smallest(large)
-        small = large.join(low, large.u == low.hub)
+        small = sorted_join(large).join(low, large.u == low.hub)
         ends = F.explode(F.array("u", "v")).alias("u")
         new = stored(_oriented(small.select(ends, F.col("low").alias("v"))), purpose)
         discard(now, large)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import prepare, raw, slices, stored
+from creditloom.llm.common import prepare, raw, slices, sorted_join, stored
 from creditloom.llm.graph import components
 
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones by finer variants.
@@ -71,7 +71,7 @@ def links(prints: DataFrame, purpose: str = "simhash") -> DataFrame:
         "fp", F.expr(f"shiftleft(cast(t as long), 32) | ({_half('t')} & ~shiftleft(1L, t % 32))").alias("key")
     )
     buckets = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = stored(variants.join(buckets, "key"), purpose)
+    live = stored(sorted_join(variants).join(buckets, "key"), purpose)
 
     few = live.where(F.col("n") <= PAIRWISE)
     other = few.select("key", F.col("fp").alias("fp2"))
@@ -80,7 +80,7 @@ def links(prints: DataFrame, purpose: str = "simhash") -> DataFrame:
         f"if(bit_count({high}) <= 1, if({high} = 0, 0, bit_count({high} - 1)), "
         f"32 + if({low} = 0, 0, bit_count({low} - 1)))"
     )
-    met = few.join(other, "key").where(
+    met = sorted_join(few).join(other, "key").where(
         f"fp < fp2 and bit_count(fp ^ fp2) <= 2 and shiftrightunsigned(key, 32) = {first}"
     )
     pairs = met.select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
@@ -114,14 +114,14 @@ def near_duplicates(docs: DataFrame, purpose: str = "simhash") -> DataFrame:
     classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), purpose)
     found = links(classes, purpose)
     by_rep = (
-        found.join(classes.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u")
-        .join(classes.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+        found.join(sorted_join(classes.select(F.col("fp").alias("u"), F.col("rep").alias("a"))), "u")
+        .join(sorted_join(classes.select(F.col("fp").alias("v"), F.col("rep").alias("b"))), "v")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     reached = components(by_rep, purpose)
-    known = classes.join(reached, classes.rep == reached.node, "left").select(
+    known = sorted_join(classes).join(reached, classes.rep == reached.node, "left").select(
         F.col("fp").alias("print"), F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(known, (prints.fp == known.print) & prints.doc_id.isNotNull(), "left").select(
+    return sorted_join(prints).join(known, (prints.fp == known.print) & prints.doc_id.isNotNull(), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -4,7 +4,7 @@ import random
 import pytest
 import xxhash
 
-from creditloom.llm import simhash
+from creditloom.llm import graph, simhash
 
 
 def by_hand(text):
@@ -94,3 +94,27 @@ def test_links_connect_all_within_two_bits(spark, monkeypatch, pairwise, seed):
         a, b = sorted((find(i), find(j)))
         root[b] = a
     assert [find(i) for i in range(len(prints))] == grouped(prints)
+
+
+def planned(monkeypatch, run):
+    """The plans of the tables that SimHash and its components store, and of the result."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    with monkeypatch.context() as patch:
+        for module in (simhash, graph):
+            patch.setattr(module, "stored", lambda df, purpose, real=module.stored: real(kept(df), purpose))
+        kept(run())
+    return plans
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Of a small table too: Spark takes the 64 variants of a fingerprint for one row, so they look small long after."""
+    rows = [(i, f"a b c d {i // 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = planned(monkeypatch, lambda: simhash.near_duplicates(docs))
+    assert sum("SortMergeJoin" in p for p in plans) > 2
+    assert not any("Broadcast" in p for p in plans)
