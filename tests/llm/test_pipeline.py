@@ -4,7 +4,7 @@ from creditloom.llm.common import stored
 
 from test_packing import PATH
 from test_simhash import by_hand as print_of
-from test_simhash import grouped
+from test_simhash import grouped, planned
 from test_suffix_within import by_hand as repeats_of
 from creditloom.llm.suffix import without
 
@@ -67,3 +67,12 @@ def test_near_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == [(False, 3), (False, 7), (False, 8), (True, 0), (True, 0)]
+
+
+def test_near_stage_broadcasts_no_variants(spark, monkeypatch):
+    """What the second stage stores on its way is joined by sorting, however small Spark takes it to be."""
+    rows = [(i, f"a b c d {i // 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    *plans, _ = planned(monkeypatch, lambda: corpus_pipeline.near_dedup(spark, docs, ""))
+    assert any("Generate" in p and "SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
