@@ -200,3 +200,51 @@ def test_forest_is_fitted_last(view, monkeypatch):
         monkeypatch.setattr(models, f"fit_{kind}", lambda *a, k=kind, f=real, **p: order.append(k) or f(*a, **p))
     run = training.train_evaluate(view, params=SMALL)
     assert order == ["logistic", "boosted", "forest"] and list(run.pipelines) == list(run.scored) == ["logistic", "forest", "boosted"]
+
+
+def test_forest_that_the_driver_cannot_hold_grows_in_groups(spark, view, tmp_path, monkeypatch):
+    """All trees are grown on all rows, a few at a time; scores, classes and importances are those of Spark's forest of
+    these trees, before saving and after loading."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassifier
+
+    from creditloom.modelling import forests
+
+    preparation, train, _, test = training.prepared_split(view)
+    weighted = metrics.with_class_weight(train, "is_default", "balanced")
+    monkeypatch.setattr(models, "GROWN_TOGETHER", 0)
+    monkeypatch.setattr(forests, "NODES_AT_ONCE", 120)
+    sizes, real = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: sizes.append(self.getNumTrees()) or real(self, rows))
+    forest = models.fit_forest(weighted, "is_default", numTrees=8, maxDepth=5)
+    assert isinstance(forest, forests.StoredForest) and sum(sizes) == forest.getNumTrees == 8
+    assert len(sizes) > 2 and min(sizes) > 1 and len(forest.groups()) > 1
+    pipeline = PipelineModel([*preparation.stages(), forest])
+    path = str(tmp_path / "stored")
+    models.save_model(pipeline, path)
+    models.save_model(pipeline, path)  # over the first
+    loaded = models.load_model(path)
+    assert loaded.stages[-1].place.startswith(path)
+
+    trees = [DecisionTreeClassificationModel.load(f"{forest.place}/tree-{i}") for i in range(8)]
+    assert [t.numNodes for t in trees] == forest.nodes and len({t.toDebugString.split("\n", 1)[1] for t in trees}) == 8
+    gains = sum(t.featureImportances.toArray() for t in trees)
+    assert forest.featureImportances.toArray() == pytest.approx(gains / gains.sum())
+    assert loaded.stages[-1].featureImportances == forest.featureImportances
+    rows = models.importances(spark, forest, preparation.inputs).collect()
+    assert sum(r.importance for r in rows) == pytest.approx(1)
+
+    given = models.PipelineModel([*preparation.stages(), *trees]).transform(test)
+    mean = {
+        r.loan_id: sum(r[f"{models.TREE}{i}"][1] for i in range(8)) / 8
+        for r in given.select("loan_id", *[f"{models.TREE}{i}" for i in range(8)]).collect()
+    }
+    for model in (pipeline, loaded):
+        found = models.score(model, test, "loan_id", "is_default").collect()
+        assert found[0].asDict().keys() == {"loan_id", "is_default", "score", "prediction"}
+        assert len(found) == len(mean) == test.count() and {r.prediction for r in found} == {0, 1}
+        for r in found:
+            assert r.score == pytest.approx(mean[r.loan_id], rel=1e-12)
+            assert r.prediction == (r.score > 0.5) or r.score == pytest.approx(0.5)
+    batch = training.score_batch(path, view.drop("is_default"), threshold=0.3)
+    assert batch.count() == view.count() and batch.where("prediction = cast(score >= 0.3 as int)").count() == view.count()
