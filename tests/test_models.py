@@ -248,3 +248,16 @@ def test_forest_that_the_driver_cannot_hold_grows_in_groups(spark, view, tmp_pat
             assert r.prediction == (r.score > 0.5) or r.score == pytest.approx(0.5)
     batch = training.score_batch(path, view.drop("is_default"), threshold=0.3)
     assert batch.count() == view.count() and batch.where("prediction = cast(score >= 0.3 as int)").count() == view.count()
+
+
+def test_forest_in_groups_grows_on_no_more_parts_than_cores(spark, view, monkeypatch):
+    """Each part of the rows sends the counts of every open node: parts by the size of files would multiply with nodes."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    _, train, _, _ = training.prepared_split(view)
+    weighted = metrics.with_class_weight(train, "is_default", "balanced").repartition(40)
+    monkeypatch.setattr(models, "GROWN_TOGETHER", 0)
+    parts, real = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: parts.append((rows.rdd.getNumPartitions(), rows.count())) or real(self, rows))
+    models.fit_forest(weighted, "is_default", numTrees=3, maxDepth=2)
+    assert parts == [(spark.sparkContext.defaultParallelism, train.count())] * len(parts) and parts
